@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.llm.forest import near_duplicate_groups
+from colonnade.llm.prefix_join import similar_set_pairs
 from colonnade.sources.tables import table
 
 
@@ -15,5 +16,12 @@ def p1_found(spark: SparkSession, directory: str) -> DataFrame:
     return groups.selectExpr("id as record_id", "group_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found}
+def p2_found(spark: SparkSession, directory: str) -> DataFrame:
+    pairs = similar_set_pairs(
+        spark, table(spark, directory, "column_values_signature"), "signature_id", "exact_values", ["database_id", "table_name", "column_name"]
+    )
+    return pairs.selectExpr("id_a as signature_id_a", "id_b as signature_id_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found}
 ORACLE: dict[str, str] = {}
