@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from colonnade.llm.forest import near_duplicate_groups
 from colonnade.llm.prefix_join import similar_set_pairs
+from colonnade.llm.suffix_overlap import cross_split_pairs
 from colonnade.sources.tables import table
 
 
@@ -23,5 +25,24 @@ def p2_found(spark: SparkSession, directory: str) -> DataFrame:
     return pairs.selectExpr("id_a as signature_id_a", "id_b as signature_id_b")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found}
+P3_FIELDS = ["question", "ground_truth_sql", "evidence"]
+
+
+def p3_found(spark: SparkSession, directory: str) -> DataFrame:
+    pairs = cross_split_pairs(spark, table(spark, directory, "nl2sql_query"), "query_id", "split", P3_FIELDS)
+    return pairs.selectExpr("least(train_id, eval_id) as query_id_a", "greatest(train_id, eval_id) as query_id_b").distinct()
+
+
+def p3_report(spark: SparkSession, directory: str) -> DataFrame:
+    """For each split and source of the evaluation side: overlapping records and pairs, by field."""
+    rows = table(spark, directory, "nl2sql_query")
+    pairs = cross_split_pairs(spark, rows, "query_id", "split", P3_FIELDS)
+    of = rows.selectExpr("query_id as eval_id", "lower(trim(split)) as split", "lower(trim(source)) as source")
+    joined = pairs.join(of, "eval_id")
+    return joined.groupBy("split", "source", "field").agg(
+        F.countDistinct("eval_id").alias("records"), F.count("*").alias("pairs"), F.round(F.avg("coverage"), 6).alias("mean_coverage")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report}
 ORACLE: dict[str, str] = {}
