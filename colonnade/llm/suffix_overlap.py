@@ -55,7 +55,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = np.tile(tr, len(e)), np.repeat(e, len(tr))
             most = room[a] + room[b]  # thousandths of a word that may differ
             fits = (pos[a] + pos[b]) * 1000 <= most
-            fits &= np.bitwise_count(bits[a] ^ bits[b]).astype(np.int64) * 1000 <= most
+            fits &= np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int64) * 1000 <= most
             a, b = a[fits], b[fits]
             if not len(a):
                 continue
