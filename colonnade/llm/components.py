@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.plans.scratch import Scratch
@@ -167,3 +167,37 @@ def connected_components(
     full = scratch.keep(full, "rooted")
     least = full.groupBy("root").agg(F.min("v").alias("component"))
     return full.join(least, "root").select("v", "component")
+
+
+def column_part(c: str) -> Column:
+    """A database, table or column name without case, surrounding blanks and one pair of identifier quotes; empty becomes null."""
+    bare = F.lower(F.regexp_replace(F.col(c), r"(?U)^\s+|\s+$", ""))
+    inner = F.regexp_extract(bare, r"(?s)^(?:`(.*)`|\"(.*)\"|\[(.*)\])$", 0)
+    open_ = F.when(inner != "", F.substring(bare, 2, 1_000_000).substr(F.lit(1), F.length(bare) - 2)).otherwise(bare)
+    return F.nullif(F.regexp_replace(open_, r"(?U)^\s+|\s+$", ""), F.lit(""))
+
+
+def linked_columns(df: DataFrame, database: str, ends: tuple[tuple[str, str], tuple[str, str]]) -> DataFrame:
+    """(a, b): the column keys of each row with two complete ends; a row that links a column to itself is kept."""
+    keys = [F.concat_ws(".", column_part(database), column_part(t), column_part(c)) for t, c in ends]
+    whole = [column_part(x).isNotNull() for x in (database, *ends[0], *ends[1])]
+    for w in whole:
+        df = df.where(w)
+    return df.select(keys[0].alias("a"), keys[1].alias("b"))
+
+
+def key_groups(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """(key, group_key) of every key linked to another one by ``links`` (a string, b string), directly or through others.
+
+    group_key is the group's smallest key by character code. Null ends and links of a key with itself link nothing, so a
+    key with no other link has no row; repeated and turned-round links change nothing.
+    """
+    scratch = Scratch(spark)
+    pairs = scratch.keep(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    # ids in the order of the keys: ranges of keys, sorted, with the number of the range in the upper bits
+    ids = scratch.keep(keys.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("id")), "ids")
+    edges = pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b")
+    groups = connected_components(spark, edges.select("src", "dst"), scratch)
+    named = groups.join(ids.select(F.col("id").alias("v"), "key"), "v")
+    return named.join(ids.select(F.col("id").alias("component"), F.col("key").alias("group_key")), "component").select("key", "group_key")

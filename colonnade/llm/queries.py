@@ -7,9 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.llm.components import key_groups, linked_columns
 from colonnade.llm.forest import near_duplicate_groups
+from colonnade.llm.leakage import leaked_passages
+from colonnade.llm.mixture import mixture
 from colonnade.llm.prefix_join import similar_set_pairs
 from colonnade.llm.suffix_overlap import cross_split_pairs
+from colonnade.llm.unify import look_alike_pairs
 from colonnade.sources.tables import table
 
 
@@ -44,5 +48,43 @@ def p3_report(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_report": p3_report}
+def p5_found(spark: SparkSession, directory: str) -> DataFrame:
+    similar = linked_columns(table(spark, directory, "similar_column_pair"), "database_id", (("table_a", "column_a"), ("table_b", "column_b")))
+    joins = linked_columns(
+        table(spark, directory, "join_candidate"), "database_id", (("source_table", "source_column"), ("target_table", "target_column"))
+    )
+    return key_groups(spark, similar.union(joins)).withColumnRenamed("key", "column_key")
+
+
+def p6_found(spark: SparkSession, directory: str) -> DataFrame:
+    items = table(spark, directory, "eval_item")
+    return leaked_passages(spark, table(spark, directory, "documents"), "doc_id", "text", items, "item_id", "text")
+
+
+def p6_report(spark: SparkSession, directory: str) -> DataFrame:
+    """For each item of the held-out material: in how many documents it leaked, none included."""
+    items = table(spark, directory, "eval_item").select("item_id", "split", "source")
+    found = p6_found(spark, directory).groupBy("item_id").agg(F.count("*").alias("documents"))
+    return items.join(found, "item_id", "left").fillna(0, ["documents"])
+
+
+def p7_mixture(spark: SparkSession, directory: str) -> DataFrame:
+    """The copies of each document used."""
+    copies, _ = mixture(spark, table(spark, directory, "documents"), table(spark, directory, "mixture_target"))
+    return copies.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
+    """The share each source reached."""
+    return mixture(spark, table(spark, directory, "documents"), table(spark, directory, "mixture_target"))[1]
+
+
+def p8_found(spark: SparkSession, directory: str) -> DataFrame:
+    pairs = look_alike_pairs(table(spark, directory, "documents"), "doc_id", "text")
+    return pairs.selectExpr("id_a as doc_id_a", "id_b as doc_id_b")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p5_found, p6_found, p6_report, p7_mixture, p7_shares, p8_found)
+}
 ORACLE: dict[str, str] = {}
