@@ -1,30 +1,13 @@
-"""All queries of the core library by name, and the SQL that checks them."""
+"""Queries of problem 4."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
 from colonnade.operators.quality import load_findings, profile_files
+from colonnade.plans.registry import query
 from colonnade.sources.tables import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query("""
 with once as (select column_id, load_no, row_no, min(value) as value from cell_value group by all),
 counts as (select column_id, load_no, value, count(*) as n from once group by all),
