@@ -72,11 +72,10 @@ def dense_search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: in
     out, held = None, []
 
     def search(held: list) -> DataFrame:
-        ids = np.array([r[0] for r in held])
-        q = np.array([r[1] for r in held], dtype=np.float64)
-        q = q[(q * q).sum(1) > 0] if len(q) else q
-        ids = ids[: len(q)] if len(ids) == len(q) else ids[(np.array([r[1] for r in held], dtype=np.float64) ** 2).sum(1) > 0]
-        sent = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True)))
+        ids, q = np.array([r[0] for r in held], np.int64), np.array([r[1] for r in held], np.float64)
+        length = np.linalg.norm(q, axis=1) if len(q) else np.empty(0)
+        ids, q = ids[length > 0], q[length > 0] / length[length > 0, None] if len(q) else q
+        sent = spark.sparkContext.broadcast((ids, q))
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = sent.value

@@ -1 +1,137 @@
-"""To come."""
+"""Queries over SQL text and question text."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from colonnade.functions import sqltext, text as T
+from colonnade.operators import select
+from colonnade.plans.registry import query
+from colonnade.sources.tables import table
+
+
+def _sql(p: str) -> str:
+    return p.replace("'", "''")
+
+
+def _masked(c: str) -> str:
+    for p in T.VALUE_PATTERNS:
+        c = f"regexp_replace({c}, '{_sql(p)}', '{T.VALUE}', 'g')"
+    return c
+
+
+BARE = "lower(regexp_replace(generated_sql, '''[^'']*''', '''''', 'g'))"
+WHERE = "from episodic_record where generated_sql is not null"
+
+
+def records(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "episodic_record").where("generated_sql is not null").select("record_id", "database_id", "user_query", "label", F.col("generated_sql").alias("s"))
+
+
+@query(f"select query_id, {_masked('question')} as masked from nl2sql_query where question is not null")
+def mask_values(spark: SparkSession, directory: str) -> DataFrame:
+    return table(spark, directory, "nl2sql_query").where("question is not null").select("query_id", T.mask_values(F.col("question")).alias("masked"))
+
+
+TIMES = ["select x from t where strftime('%Y', d) > 2010", "select 1 where strftime('%m', d) = 12", "select strftime('%Y', a) >= 1999 and strftime('%Y', b) <= 20051"]
+
+
+@query(" union all ".join(f"select '{_sql(t)}' as sql, '{_sql(r)}' as rewritten" for t, r in zip(TIMES, [TIMES[0].replace("2010", "'2010'"), TIMES[1], TIMES[2].replace("1999", "'1999'").replace("20051", "'20051'")])))
+def time_rewrite(spark: SparkSession, directory: str) -> DataFrame:
+    rows = spark.createDataFrame([(t,) for t in TIMES], "sql string")
+    return rows.select("sql", sqltext.quote_time(F.col("sql")).alias("rewritten"))
+
+
+@query(
+    "select record_id, case when regexp_matches(t, '^\\s*\\(*\\s*(select|with)\\b') then "
+    + " + ".join(f"{w} * len(regexp_extract_all(t, '{p}'))" for p, w in sqltext.WEIGHTS)
+    + f" else 100 end::int as score from (select record_id, {BARE} as t {WHERE})"
+)
+def complexity_score(spark: SparkSession, directory: str) -> DataFrame:
+    return records(spark, directory).select("record_id", sqltext.complexity(F.col("s")).cast("int").alias("score"))
+
+
+@query("select record_id, concat_ws(','," + ", ".join(f"case when regexp_matches(t, '{p}') then '{tag}' end" for tag, p in sorted(sqltext.INTENTS.items())) + f") as tags from (select record_id, {BARE} as t {WHERE})")
+def intent_tags(spark: SparkSession, directory: str) -> DataFrame:
+    return records(spark, directory).select("record_id", sqltext.intents(F.col("s")).alias("tags"))
+
+
+@query(f"select record_id, array_to_string(list_sort(list_distinct(regexp_extract_all(regexp_replace({BARE}, '[`\"]', '', 'g'), '\\b(?:from|join)\\s+([a-z_][a-z0-9_]*)', 1))), ',') as tables {WHERE}")
+def tables_of_sql(spark: SparkSession, directory: str) -> DataFrame:
+    return records(spark, directory).select("record_id", F.array_join(sqltext.tables_of(F.col("s")), ",").alias("tables"))
+
+
+@query(f"""with j as (select record_id, unnest(regexp_extract_all(regexp_replace({BARE}, '[`"]', '', 'g'), '\\bon\\s+\\w+\\.\\w+\\s*=\\s*\\w+\\.\\w+')) as t {WHERE}),
+  p as (select record_id, regexp_extract(t, 'on\\s+(\\w+\\.\\w+)', 1) as a, regexp_extract(t, '=\\s*(\\w+\\.\\w+)', 1) as b from j)
+  select least(a, b) || ' = ' || greatest(a, b) as condition, count(distinct record_id) as records from p group by all""")
+def join_conditions(spark: SparkSession, directory: str) -> DataFrame:
+    got = records(spark, directory).select("record_id", F.explode(sqltext.join_conditions(F.col("s"))).alias("condition"))
+    return got.groupBy("condition").agg(F.count("*").alias("records"))
+
+
+_KEEP = ", ".join(f"'{k}'" for k in sqltext.KEYWORDS)
+
+
+@query(f"""with p as (select record_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(generated_sql), '''[^'']*''|`[^`]*`|"[^"]*"', ' x ', 'g'), '[a-z_][a-z0-9_.]*|[0-9][0-9.]*|[<>=!]+|[(),*/+-]'),
+    lambda t: case when t in ({_KEEP}) or not regexp_matches(t, '^[a-z0-9_]') then t else '_' end), ' ') as t {WHERE})
+  select record_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '_( _)+', '_', 'g'), '_ as _', '_', 'g'), '_( , _)+', '_', 'g'), '_( join _ on _ = _)+', '_ join _', 'g') as skeleton from p""")
+def sql_skeleton(spark: SparkSession, directory: str) -> DataFrame:
+    return records(spark, directory).select("record_id", sqltext.skeleton(F.col("s")).alias("skeleton"))
+
+
+MASKED = "lower(trim(regexp_replace(regexp_replace(regexp_replace(generated_sql, '''[^'']*''', '?', 'g'), '\\b\\d+(\\.\\d+)?\\b', '?', 'g'), '\\s+', ' ', 'g')))"
+
+
+@query(f"""with k as (select record_id, label, lower(database_id) as db, user_query as q, generated_sql as s, {MASKED} as m {WHERE} and user_query is not null and database_id is not null)
+  select w.record_id as wrong, c.record_id as correct from k w join k c using (db, q) where not w.label and c.label and w.m = c.m and w.s <> c.s""")
+def value_only_differences(spark: SparkSession, directory: str) -> DataFrame:
+    """Wrong and right records of one question whose SQL differs in nothing but values."""
+    r = records(spark, directory).where("user_query is not null and database_id is not null")
+    k = r.select("record_id", "label", F.lower("database_id").alias("db"), F.col("user_query").alias("q"), "s", sqltext.mask_literals(F.col("s")).alias("m"))
+    wrong = k.where("not label").select("db", "q", "m", F.col("record_id").alias("wrong"), F.col("s").alias("ws"))
+    right = k.where("label").select("db", "q", "m", F.col("record_id").alias("correct"), F.col("s").alias("cs"))
+    return wrong.join(right, ["db", "q", "m"]).where("ws <> cs").select("wrong", "correct")
+
+
+def _linking(spark: SparkSession, directory: str) -> tuple[DataFrame, DataFrame]:
+    """Tables of the right and of the wrong records of each question."""
+    r = records(spark, directory).where("user_query is not null and database_id is not null")
+    k = r.select(F.concat_ws("|", F.lower("database_id"), "user_query").alias("question"), "label", F.explode(sqltext.tables_of(F.col("s"))).alias("table_name"))
+    return k.where("label").select("question", "table_name"), k.where("not label").select("question", "table_name")
+
+
+LINKS = f"""k as (select lower(database_id) || '|' || user_query as question, label, unnest(list_distinct(regexp_extract_all(regexp_replace({BARE}, '[`"]', '', 'g'), '\\b(?:from|join)\\s+([a-z_][a-z0-9_]*)', 1))) as table_name {WHERE} and user_query is not null and database_id is not null),
+  g as (select distinct question, table_name from k where label), l as (select distinct question, table_name, 1 as hit from k where not label)"""
+
+
+@query(f"""with {LINKS}, p as (select question, count(*) as n, count(hit) as hit from g left join l using (question, table_name) group by all)
+  select round(avg(hit / n), 6) as macro_recall, round(sum(hit) / sum(n), 6) as micro_recall from p""")
+def linking_recall(spark: SparkSession, directory: str) -> DataFrame:
+    gold, linked = _linking(spark, directory)
+    return select.linking_recall(gold, linked, ["table_name"]).select(F.round("macro_recall", 6).alias("macro_recall"), F.round("micro_recall", 6).alias("micro_recall"))
+
+
+@query(f"""with {LINKS}, a as (select question, list(table_name) as x from g group by all), b as (select question, list(table_name) as y from l group by all)
+  select question, round(0.6 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 0.4, 6) as overlap from a join b using (question)""")
+def schema_overlap(spark: SparkSession, directory: str) -> DataFrame:
+    """Overlap of the tables of right and wrong records; columns are left out and agree."""
+    gold, linked = _linking(spark, directory)
+    a = gold.groupBy("question").agg(F.collect_set("table_name").alias("x"))
+    b = linked.groupBy("question").agg(F.collect_set("table_name").alias("y"))
+    none = F.array().cast("array<string>")
+    rows = a.join(b, "question").withColumn("ca", none).withColumn("cb", none)
+    return select.schema_overlap(rows, "x", "y", "ca", "cb").select("question", F.round("overlap", 6).alias("overlap"))
+
+
+@query("select query_id, lower(trim(regexp_replace(split, '\\s+', ' ', 'g'))) as split, trim(regexp_replace(regexp_replace(evidence, '[\\r\\n]', '', 'g'), ' +', ' ', 'g')) as evidence from nl2sql_query where evidence is not null and split is not null")
+def description_normalize(spark: SparkSession, directory: str) -> DataFrame:
+    r = table(spark, directory, "nl2sql_query").where("evidence is not null and split is not null")
+    return r.select("query_id", T.normalise_sql(F.col("split")).alias("split"), T.normalise_description(F.col("evidence")).alias("evidence"))
+
+
+@query()
+def sql_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """The rule checks that each recorded query fails; a look-behind in one of them has no form in the checking engine."""
+    got = records(spark, directory).select("record_id", sqltext.checks(F.col("s")).alias("failed"))
+    return got.where("failed <> ''")
