@@ -9,27 +9,13 @@ whole edge table and ends in a written table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.operators.graph import both_ways, canonical, number_keys, star_labels, union_labels
 from colonnade.plans.scratch import Scratch
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-
-
-def _canonical(edges: DataFrame) -> DataFrame:
-    return (
-        edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
-        .where("src < dst")
-        .distinct()
-    )
-
-
 def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     """Edges with neither end among the vertices ``gone.v``."""
     return edges.join(gone.select(F.col("v").alias("src")), "src", "left_anti").join(
@@ -39,7 +25,7 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 def strip_leaves(edges: DataFrame) -> DataFrame:
     """(v, parent) of every vertex of degree one; of two that only have each other, the smaller one stays."""
-    around = _both(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"), F.min("dst").alias("parent"))
+    around = both_ways(edges).groupBy(F.col("src").alias("v")).agg(F.count("*").alias("deg"), F.min("dst").alias("parent"))
     leaves = around.where("deg = 1").select("v", "parent")
     other = leaves.select(F.col("v").alias("parent"), F.col("parent").alias("back"))
     return leaves.join(other, "parent", "left").where("back is null or v > parent").select("v", "parent")
@@ -51,7 +37,7 @@ def rank_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     A row stands for the arc that leaves ``y`` towards one neighbour and holds how far it has been followed. One round
     replaces the followed stretch by the stretch of the vertex it ended at, so a chain of length n takes log2(n) rounds.
     """
-    around = _both(edges).groupBy(F.col("src").alias("y")).agg(
+    around = both_ways(edges).groupBy(F.col("src").alias("y")).agg(
         F.count("*").alias("deg"), F.min("dst").alias("lo"), F.max("dst").alias("hi")
     )
     inner = scratch.keep(around.where("deg = 2").select("y", "lo", "hi"), "inner")
@@ -88,48 +74,6 @@ def rank_chains(edges: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFram
     return gone, links, n
 
 
-def star_labels(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(v, root) of the vertices of ``edges`` by alternating large-star and small-star steps until the edges stay the same."""
-    state = None
-    while True:
-        around = _both(edges)
-        low = around.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("m"))
-        large = around.join(low, "src").where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
-        large = large.where("src <> dst").distinct()
-        low = large.groupBy("src").agg(F.min("dst").alias("m"))
-        joined = large.join(low, "src")
-        small = joined.select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").union(low.select("src", F.col("m").alias("dst"))).distinct()
-        after = scratch.keep(small.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "stars")
-        now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("src", "dst") % 1000003)).first())
-        scratch.drop(edges)
-        edges = after
-        if now == state:
-            return edges.select(F.col("src").alias("v"), F.col("dst").alias("root"))
-        state = now
-
-
-def union_labels(edges: DataFrame) -> DataFrame:
-    """(v, root) by union-find in a single task, for an edge table whose size has been checked."""
-
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = x = up.setdefault(y, y)
-            return x
-
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = find(a), find(b)
-                if a != b:
-                    up[max(a, b)] = min(a, b)
-        vs = list(up)
-        yield pa.RecordBatch.from_arrays([pa.array(vs, pa.int64()), pa.array([find(v) for v in vs], pa.int64())], ["v", "root"])
-
-    return edges.select("src", "dst").coalesce(1).mapInArrow(solve, "v bigint, root bigint")
-
-
 def connected_components(
     spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None, least_gain: float = 0.1, one_task: int = 1_000_000, reduce_above: int = 0
 ) -> DataFrame:
@@ -140,7 +84,7 @@ def connected_components(
     most ``one_task`` edges is solved by one task.
     """
     scratch = scratch or Scratch(spark)
-    edges = whole = scratch.keep(_canonical(edges.where("src is not null and dst is not null")), "edges")
+    edges = whole = scratch.keep(canonical(edges.where("src is not null and dst is not null")), "edges")
     size = edges.count()
     removed: list[DataFrame] = []
     while size > reduce_above:
@@ -151,7 +95,7 @@ def connected_components(
         if ranked := rank_chains(edges, scratch):
             gone, links, _ = ranked
             removed.append(gone)
-            edges = scratch.keep(_canonical(_without(edges, gone).union(links)), "edges")
+            edges = scratch.keep(canonical(_without(edges, gone).union(links)), "edges")
         size = edges.count()
         if before - size < least_gain * before:
             break
@@ -162,7 +106,7 @@ def connected_components(
         at = labels.select(F.col("v").alias("parent"), "root")
         back = gone.join(at, "parent", "left").select("v", F.coalesce("root", "parent").alias("root"))
         labels = scratch.keep(labels.union(back), "labels")
-    vertices = _both(whole).select(F.col("src").alias("v")).distinct()
+    vertices = both_ways(whole).select(F.col("src").alias("v")).distinct()
     full = vertices.join(labels.distinct(), "v", "left").select("v", F.coalesce("root", "v").alias("root"))
     full = scratch.keep(full, "rooted")
     least = full.groupBy("root").agg(F.min("v").alias("component"))
@@ -194,10 +138,7 @@ def key_groups(spark: SparkSession, links: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark)
     pairs = scratch.keep(links.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    # ids in the order of the keys: ranges of keys, sorted, with the number of the range in the upper bits
-    ids = scratch.keep(keys.repartitionByRange("key").sortWithinPartitions("key").select("key", F.monotonically_increasing_id().alias("id")), "ids")
-    edges = pairs.join(ids.select(F.col("key").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("key").alias("b"), F.col("id").alias("dst")), "b")
-    groups = connected_components(spark, edges.select("src", "dst"), scratch)
+    ids, edges = number_keys(pairs, scratch)
+    groups = connected_components(spark, edges, scratch)
     named = groups.join(ids.select(F.col("id").alias("v"), "key"), "v")
     return named.join(ids.select(F.col("id").alias("component"), F.col("key").alias("group_key")), "component").select("key", "group_key")
