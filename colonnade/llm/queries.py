@@ -87,4 +87,41 @@ def p8_found(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p5_found, p6_found, p6_report, p7_mixture, p7_shares, p8_found)
 }
-ORACLE: dict[str, str] = {}
+
+
+def _words(c: str) -> str:
+    return f"list_sort(list_distinct(regexp_extract_all(lower({c}), '[a-z0-9_]+')))"
+
+
+def _pairs(sets: str, tenths: int, least: int, extra: str = "") -> str:
+    """Common table expressions that end in ``pr`` (a, b): the similar pairs of ``sets`` (id, ws), found by shared prefix words."""
+    return f"""z as materialized (select id, ws, len(ws) as n{extra} from ({sets}) where len(ws) >= {least}), tok as (select id, n, unnest(ws) as w from z), df as (select w, count(*) as c from tok group by all),
+      pre as (select id, n, w from tok join df using (w) qualify row_number() over (partition by id order by c, w) <= n - ceil({tenths} * n / 10 - 1e-9) + 1),
+      cand as (select distinct x.id as a, y.id as b from pre x join pre y on x.w = y.w and x.id < y.id and 10 * y.n >= {tenths} * x.n and 10 * x.n >= {tenths} * y.n),
+      ov as (select a, b, len(list_intersect(x.ws, y.ws)) as i, x.n as na, y.n as nb from cand join z x on x.id = a join z y on y.id = b), pr as (select a, b from ov where 10 * i >= {tenths} * (na + nb - i))"""
+
+
+_COLUMN_PART = "nullif(trim(regexp_replace(lower(trim({0})), '^(?:`(.*)`|\"(.*)\"|\\[(.*)\\])$', '\\1\\2\\3')), '')"
+
+
+def _ends(t: str, ta: str, ca: str, tb: str, cb: str) -> str:
+    d, p = _COLUMN_PART.format("database_id"), _COLUMN_PART.format
+    return f"select {d} || '.' || {p(ta)} || '.' || {p(ca)} as a, {d} || '.' || {p(tb)} || '.' || {p(cb)} as b from {t}"
+
+
+_P3 = " union ".join(
+    f"select least(query_id_a, query_id_b) as query_id_a, greatest(query_id_a, query_id_b) as query_id_b from (with {_pairs(f'select query_id as id, {_words(f)} as ws, lower(trim(split)) = ' + chr(39) + 'train' + chr(39) + ' as train from nl2sql_query where lower(trim(split)) in (' + chr(39) + 'train' + chr(39) + ', ' + chr(39) + 'dev' + chr(39) + ', ' + chr(39) + 'test' + chr(39) + ')', 8, 10, ', train')} "
+    "select a as query_id_a, b as query_id_b from pr join z x on x.id = a join z y on y.id = b where x.train <> y.train)"
+    for f in P3_FIELDS
+)
+#: SQL that finds the same rows another way; look-alike text, leaked windows and mixtures have no form in SQL.
+ORACLE: dict[str, str] = {
+    "p1_found": f"""with recursive {_pairs(f'select record_id as id, {_words("generated_sql")} as ws from episodic_record', 8, 10)},
+      s as (select a, b from pr union select b, a from pr), r(k, m) as (select a, a from s union select s.b, r.m from r join s on s.a = r.k)
+      select k as record_id, min(m) as group_id from r group by k""",
+    "p2_found": f"""with {_pairs("select signature_id as id, list_distinct(list_filter(list_transform(exact_values, lambda v: lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g'))), lambda v: v <> '')) as ws, database_id, table_name, column_name from column_values_signature", 6, 5, ', database_id, table_name, column_name')}
+      select a as signature_id_a, b as signature_id_b from pr join z x on x.id = a join z y on y.id = b where (x.database_id, x.table_name, x.column_name) <> (y.database_id, y.table_name, y.column_name)""",
+    "p3_found": _P3,
+    "p5_found": f"""with recursive e as (select distinct a, b from ({_ends('similar_column_pair', 'table_a', 'column_a', 'table_b', 'column_b')} union all {_ends('join_candidate', 'source_table', 'source_column', 'target_table', 'target_column')}) where a <> b),
+      s as (select a, b from e union select b, a from e), r(k, m) as (select a, a from s union select s.b, r.m from r join s on s.a = r.k) select k as column_key, min(m) as group_key from r group by k""",
+}
