@@ -76,7 +76,7 @@ def extract_result(c: Column) -> Column:
     """The text between result tags, else inside a code fence, else all of it."""
     tag = F.regexp_extract(c, r"(?s)<result>(.*?)</result>", 1)
     fence = F.regexp_extract(c, r"(?s)```(?:sql)?\s*(.*?)```", 1)
-    return F.trim(F.when(tag != "", tag).when(fence != "", fence).otherwise(c))
+    return F.regexp_replace(F.when(tag != "", tag).when(fence != "", fence).otherwise(c), r"^\s+|\s+$", "")
 
 
 def extract_json(c: Column) -> Column:

@@ -33,30 +33,31 @@ def classify(df: DataFrame) -> DataFrame:
 
 
 def run(spark: SparkSession, sql: str, timeout: float = 30.0) -> Outcome:
-    """Runs a query for at most ``timeout`` seconds and says how it ended; the result itself stays distributed."""
-    tag = f"run-{uuid.uuid4().hex}"
-    fired = threading.Event()
-
-    def stop():
-        fired.set()
-        spark.interruptTag(tag)
-
-    timer = threading.Timer(timeout, stop)
-    spark.addTag(tag)
-    timer.start()
-    try:
-        df = positional(spark.sql(sql.strip().rstrip(";")))
-        rows, kind = classify(df).first()
-        return Outcome(kind, rows, None, df)
-    except PySparkException as e:
-        return Outcome("timeout" if fired.is_set() else "execution_error", None, None if fired.is_set() else str(e).split("\n")[0], None)
-    except Exception as e:  # a cancelled job does not come back as Spark's own error
-        if fired.is_set():
-            return Outcome("timeout", None, None, None)
-        raise e
-    finally:
-        timer.cancel()
-        spark.removeTag(tag)
+    """Runs a query for at most ``timeout`` seconds and says how it ended; the result itself stays distributed.
+
+    The query runs in a thread of its own under a tag. After the timeout its jobs are cancelled, and the call returns
+    whether or not their tasks have ended by then.
+    """
+    tag, ended = f"run-{uuid.uuid4().hex}", []
+
+    def work() -> None:
+        spark.addTag(tag)
+        try:
+            df = positional(spark.sql(sql.strip().rstrip(";")))
+            rows, kind = classify(df).first()
+            ended.append(Outcome(kind, rows, None, df))
+        except PySparkException as e:
+            ended.append(Outcome("execution_error", None, str(e).split("\n")[0], None))
+        except Exception as e:  # what is cancelled does not always come back as Spark's own error
+            ended.append(Outcome("execution_error", None, type(e).__name__, None))
+
+    thread = threading.Thread(target=work, daemon=True)
+    thread.start()
+    thread.join(timeout)
+    if ended:
+        return ended[0]
+    spark.interruptTag(tag)
+    return Outcome("timeout", None, None, None)
 
 
 def positional(df: DataFrame) -> DataFrame:

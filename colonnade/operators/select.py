@@ -6,30 +6,32 @@ failed candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-Q = Window.partitionBy("question")
+
+def _question() -> WindowSpec:
+    return Window.partitionBy("question")
 
 
 def valid_candidates(candidates: DataFrame) -> DataFrame:
     """Of each question the successful candidates with rows; if it has none, all successful ones."""
     tier = F.when(F.col("succeeded") & (F.col("rows") > 0), 1).when(F.col("succeeded"), 2)
     got = candidates.withColumn("tier", tier).where("tier is not null")
-    return got.withColumn("_best", F.min("tier").over(Q)).where("tier = _best").drop("_best")
+    return got.withColumn("_best", F.min("tier").over(_question())).where("tier = _best").drop("_best")
 
 
 def consensus(candidates: DataFrame) -> DataFrame:
     """(question, result, group_size, valid, share, representative, ms): the groups of equal results; the first candidate
     of a group represents it."""
     got = valid_candidates(candidates).groupBy("question", "result").agg(F.count("*").alias("group_size"), F.min_by(F.struct("candidate", "ms"), "candidate").alias("first"))
-    total = F.sum("group_size").over(Q)
+    total = F.sum("group_size").over(_question())
     return got.select("question", "result", "group_size", total.alias("valid"), (F.col("group_size") / total).alias("share"), F.col("first.candidate").alias("representative"), F.col("first.ms").alias("ms"))
 
 
 def ranked(groups: DataFrame, k: int) -> DataFrame:
     """The ``k`` best groups of each question: larger share first, then the faster, then the earlier."""
-    w = Q.orderBy(F.desc("share"), F.asc_nulls_last("ms"), "representative")
+    w = _question().orderBy(F.desc("share"), F.asc_nulls_last("ms"), "representative")
     return groups.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -67,10 +69,10 @@ def win_matrix(votes: DataFrame) -> DataFrame:
 
 def final_selection(wins: DataFrame, top: DataFrame) -> DataFrame:
     """(question, candidate, score): the highest win times normalised share, the better rank first among equals."""
-    weight = F.col("share") / F.sum("share").over(Q)
+    weight = F.col("share") / F.sum("share").over(_question())
     got = top.select("question", F.col("representative").alias("candidate"), "rank", weight.alias("weight")).join(wins, ["question", "candidate"])
     got = got.withColumn("score", F.col("win") * F.col("weight"))
-    w = Q.orderBy(F.desc("score"), "rank")
+    w = _question().orderBy(F.desc("score"), "rank")
     return got.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("question", "candidate", "score")
 
 

@@ -1,0 +1,23 @@
+import os
+
+import pytest
+
+from colonnade.plans.queries import ORACLE, QUERIES
+from tests.oracle import DATA, connect, same
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connect()
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_matches_sql(spark, con, name):
+    same(spark, name, QUERIES[name], ORACLE[name], con)
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_runs(spark, name):
+    assert QUERIES[name](spark, DATA).count() >= 0
