@@ -87,9 +87,9 @@ def dense_search(spark: SparkSession, docs: DataFrame, queries: DataFrame, k: in
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
                 doc = batch.column(0).to_numpy()[norm[:, 0] > 0]
                 s = np.round(q @ (x[norm[:, 0] > 0] / norm[norm[:, 0] > 0]).T, 6)
-                for i in range(len(ids)):
-                    best = np.lexsort((doc, -s[i]))[:k]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[i])), pa.array(doc[best]), pa.array(s[i][best])], ["query", "doc", "score"])
+                best = np.stack([np.lexsort((doc, -row))[:k] for row in s])
+                scores = np.take_along_axis(s, best, 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(doc[best].reshape(-1)), pa.array(scores.reshape(-1))], ["query", "doc", "score"])
 
         return docs.select("doc", "vector").mapInArrow(work, "query bigint, doc bigint, score double")
 
