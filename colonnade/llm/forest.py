@@ -279,7 +279,7 @@ def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)))
             n += batch.num_rows
-            if n >= 100_000:
+            if n >= 40_000:
                 yield from flush(False)
         yield from flush(True)
 
