@@ -11,7 +11,7 @@ from colonnade.session import local_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = local_session(4, "3g", "tests")
-    s.conf.set("spark.sql.shuffle.partitions", "4")
+    s.conf.set("spark.sql.shuffle.partitions", "2")
     s.sparkContext.setLogLevel("OFF")
     yield s
     s.stop()
