@@ -159,3 +159,53 @@ def append_merge(spark: SparkSession, directory: str) -> DataFrame:
     r = table(spark, directory, "nl2sql_query").where("trim(evidence) <> ''").select(F.lower("db_id").alias("entity"), F.trim("evidence").alias("e"), "query_id")
     firsts = r.groupBy("entity", "e").agg(F.min("query_id").alias("n"))
     return firsts.groupBy("entity").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "e"))), lambda x: x["e"]), "|").alias("definition"))
+
+
+@query(f"select method, count(*) as rows, count(score) as scored, count(distinct (least(a, b), greatest(a, b))) as pairs from {PAIR_SQL} group by all")
+def pair_statistics(spark: SparkSession, directory: str) -> DataFrame:
+    """For each way of discovery: stored rows, those with a score, and different pairs."""
+    p = _pairs(spark, directory).withColumn("pair", F.struct(F.least("a", "b"), F.greatest("a", "b")))
+    each = p.groupBy("method", "pair").agg(F.count("*").alias("rows"), F.count("score").alias("scored"))
+    return each.groupBy("method").agg(F.sum("rows").alias("rows"), F.sum("scored").alias("scored"), F.count("*").alias("pairs"))
+
+
+@query(f"select k as column_key, count(*) as rows, max(score) as best from (select a as k, score from {PAIR_SQL} union all select b, score from {PAIR_SQL} where a <> b) group by all")
+def pairs_of_column(spark: SparkSession, directory: str) -> DataFrame:
+    """How many stored pairs touch a column on either side, and the best score among them."""
+    p = _pairs(spark, directory)
+    ends = p.select(F.col("a").alias("column_key"), "score").union(p.where("a <> b").select("b", "score"))
+    return ends.groupBy("column_key").agg(F.count("*").alias("rows"), F.max("score").alias("best"))
+
+
+@query(f"""with d as (select distinct {NORM_Q.format("question")} as q from nl2sql_query where lower(trim(split)) in ('dev', 'test') and question is not null)
+  select query_id from nl2sql_query where lower(trim(split)) = 'train' and question is not null and {NORM_Q.format("question")} not in (select q from d)""")
+def question_exclusion(spark: SparkSession, directory: str) -> DataFrame:
+    """Training questions without those that an evaluation split asks in the same words."""
+    r = table(spark, directory, "nl2sql_query").where("question is not null").select("query_id", F.lower(F.trim("split")).alias("sp"), T.normalise_question(F.col("question")).alias("q"))
+    return r.where("sp = 'train'").join(r.where("sp in ('dev', 'test')").select("q"), "q", "left_anti").select("query_id")
+
+
+@query(f"""with p as (select lower(database_id) as db, {Q_SQL} as q, max(record_id) as record_id from episodic_record where database_id is not null and user_query is not null group by all)
+  select query_id, record_id, record_id is null as missing from (select query_id, lower(db_id) as db, {NORM_Q.format("question")} as q from nl2sql_query where question is not null) g left join p using (db, q)""")
+def prediction_merge(spark: SparkSession, directory: str) -> DataFrame:
+    """Every gold question with the last record that answers it, and whether there is none."""
+    r = table(spark, directory, "episodic_record").where("database_id is not null and user_query is not null")
+    last = r.select(F.lower("database_id").alias("db"), T.normalise_question(F.col("user_query")).alias("q"), "record_id").groupBy("db", "q").agg(F.max("record_id").alias("record_id"))
+    gold = table(spark, directory, "nl2sql_query").where("question is not null").select("query_id", F.lower("db_id").alias("db"), T.normalise_question(F.col("question")).alias("q"))
+    return gold.join(last, ["db", "q"], "left").select("query_id", "record_id", F.col("record_id").isNull().alias("missing"))
+
+
+@query("select query_id, keyword from (select query_id, unnest(list_distinct(list_concat([lower(evidence)], string_split(lower(evidence), ' ')))) as keyword from nl2sql_query where evidence is not null) where keyword <> ''")
+def keyword_union(spark: SparkSession, directory: str) -> DataFrame:
+    """A phrase and its words as one set of keywords."""
+    r = table(spark, directory, "nl2sql_query").where("evidence is not null").select("query_id", F.lower("evidence").alias("e"))
+    words = F.array_distinct(F.concat(F.array("e"), F.split("e", " ")))
+    return r.select("query_id", F.explode(words).alias("keyword")).where("keyword <> ''")
+
+
+@query("select database_id, count(*) as columns, count(distinct lower(table_name)) as tables, max(total_rows) as total_rows from column_values_signature left join database_metadata using (database_id) group by all")
+def database_info(spark: SparkSession, directory: str) -> DataFrame:
+    """Stored columns and tables of each database with its described size."""
+    c = table(spark, directory, "column_values_signature").groupBy("database_id", F.lower("table_name").alias("t")).agg(F.count("*").alias("columns"))
+    per = c.groupBy("database_id").agg(F.sum("columns").alias("columns"), F.count("*").alias("tables"))
+    return per.join(table(spark, directory, "database_metadata").select("database_id", "total_rows"), "database_id", "left")
