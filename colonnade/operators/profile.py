@@ -1,8 +1,8 @@
 """Column profiles from one scan of each table.
 
-``cells`` turns tables into rows of (table_name, column_name, value); it reads only the named columns. Counts and extrema
-come from one wide aggregation; what needs distinct values groups the cells by column and value first, so partial
-aggregation keeps hot values from ever meeting in one task.
+``cells`` counts the values of each named column by itself, in its own type, and returns rows of (table_name, column_name,
+value, n). Every column is read once, no row is multiplied, and partial aggregation keeps hot values from ever meeting in
+one task; what needs distinct values starts from there. Counts and extrema alone come from one wide aggregation.
 """
 
 from __future__ import annotations
@@ -18,14 +18,17 @@ KEY = ["table_name", "column_name"]
 def cells(tables: dict[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
     out = None
     for t, cols in columns.items():
-        each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols])
-        rows = tables[t].select(F.lit(t).alias("table_name"), F.explode(each).alias("c")).select("table_name", "c.column_name", "c.value")
-        out = rows if out is None else out.union(rows)
+        for c in cols:
+            counts = tables[t].groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
+            rows = counts.select(F.lit(t).alias("table_name"), F.lit(c).alias("column_name"), F.col("value").cast("string").alias("value"), "n")
+            out = rows if out is None else out.union(rows)
     return out
 
 
 def value_counts(cell_rows: DataFrame) -> DataFrame:
-    """(table_name, column_name, value, n), null as a value of its own."""
+    """(table_name, column_name, value, n), null as a value of its own; rows that are counted already stay as they are."""
+    if "n" in cell_rows.columns:
+        return cell_rows
     return cell_rows.groupBy(*KEY, "value").agg(F.count("*").alias("n"))
 
 
@@ -156,7 +159,7 @@ def random_values(cell_rows: DataFrame, n: int) -> DataFrame:
 def usefulness(cell_rows: DataFrame, least: float = 0.1) -> DataFrame:
     """Share of values that are neither null nor '' nor 'null', and whether it reaches ``least``."""
     filled = F.when(F.coalesce(F.lower(F.trim("value")), F.lit("")).isin("", "null"), 0).otherwise(1)
-    got = cell_rows.groupBy(*KEY).agg(F.avg(filled).alias("r"))
+    got = value_counts(cell_rows).groupBy(*KEY).agg((F.sum(filled * F.col("n")) / F.sum("n")).alias("r"))
     return got.select(*KEY, F.round("r", 6).alias("filled_share"), (F.col("r") >= least).alias("useful"))
 
 
