@@ -6,7 +6,9 @@ compared with the records of the longest-lived node that is still small: matched
 level, as far as the node stays within ``node_rows``, which is where the recall comes from; ``tree_count`` gives the trees
 that reach ``target_recall`` at the threshold. Pairs are pre-filtered by a 64-bit sketch and then verified on the full
 word sets. Nodes that stay large down to the last level hold long families of near copies: their records are tied to
-the node's first record, and those that this does not join are compared with all others of the node in a second pass.
+the node's first record. ``tree_count`` counts a pair as found once it shares a node of ``sure_level`` levels, so nodes of
+that depth that are too large to be compared at once are completed in a second pass: all of their pairs that are not yet
+in one group are compared, by an exact bound on the words that may differ and then on the full sets.
 
 Two forests are built. The first takes its MinHash over the words that fewer than ``common_share`` of the records use,
 since the words shared by most queries say nothing; the second over all words, with longer labels, for the records that
@@ -41,6 +43,7 @@ class ForestParameters:
     common_share: float = 0.01
     node_rows: int = 96
     sketch_slack: float = 5.0  #: standard deviations by which a sketch may miss the threshold
+    block_rows: int = 20_000  #: rows of a large node that one task compares with the rest of the node
 
     def tree_count(self, similarity: float, depth: int) -> int:
         """Trees after which a pair of that similarity has shared a prefix of that depth with the target's probability."""
@@ -54,6 +57,10 @@ class ForestParameters:
     def full_trees(self) -> int:
         return self.tree_count(self.threshold, 2 * self.full_depth)
 
+    def sure_level(self, part: np.ndarray) -> np.ndarray:
+        """Levels that a pair is to share in the tree of each row, as the number of trees assumes."""
+        return np.where(part >> 16 < self.rare_trees, 1, 2)
+
     @property
     def sketch_limit(self) -> int:
         p = (1 - self.threshold) / 2
@@ -179,7 +186,8 @@ class _Trie:
     """Walks the rows of one sorted partition; keeps at most the rows of one unfinished small node."""
 
     def __init__(self, p: ForestParameters):
-        self.rows, self.limit = p.node_rows, p.sketch_limit
+        self.p, self.rows, self.limit = p, p.node_rows, p.sketch_limit
+        self.wide: list[tuple] = []  #: (node, key) of the rows in large nodes of the sure level, until the caller takes them
         self.rest: tuple[np.ndarray, ...] | None = None
         self.large: dict[int, tuple] = {}  #: level -> prefix of a node that was seen to be large before it ended
         self.leader: tuple | None = None  #: prefix, key and sketch of the first record of the large leaf that is open
@@ -202,6 +210,7 @@ class _Trie:
         start, end = np.arange(n), np.arange(n) + 1
         todo = np.ones(n, bool)
         hold = n  # rows from here on wait for more
+        sure, wide = self.p.sure_level(part), np.zeros(n, bool)
         pairs, hot = [], []
         for level in range(1, LEVELS + 1):
             pa_, lb = self.prefixes(part, label, level)
@@ -220,6 +229,7 @@ class _Trie:
             take = todo & ~big[node]
             start[take], end[take] = begin[node[take]], begin[node[take]] + size[node[take]]
             todo &= ~take
+            wide |= big[node] & (sure == level)
             if not last and not big[-1] and hold == n:
                 hold = begin[-1]  # the last node that is not known to be large may go on
             if level == LEVELS and todo.any():
@@ -233,6 +243,10 @@ class _Trie:
                 hot.append((ids.view(np.int64), key[hot_rows], lk))
                 pairs.append((lk, key[hot_rows]))
                 self.leader = (pa_[-1], lb[-1], lk[-1], ls[-1]) if big[-1] and not last else None
+        rows = np.flatnonzero(wide & (np.arange(n) < hold))
+        if len(rows):
+            second = np.where(sure[rows] == 2, label[rows] >> np.uint64(32) & np.uint64(0xFFFF), np.uint64(0))
+            self.wide.append((part[rows].astype(np.int64) << np.int64(16) | second.astype(np.int64), key[rows]))
         ready = ~todo & (np.arange(n) < hold)
         stop = np.where(ready, end, 0)
         alive = np.flatnonzero(stop - 1 > np.arange(n))
@@ -249,19 +263,19 @@ class _Trie:
 
 
 def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
-    """(kind, a, b): kind 0 for candidate pairs of keys, kind 1 for (large leaf, key) memberships with its leader in ``lead``."""
+    """(kind, a, b): kind 0 for candidate pairs of keys, kind 1 for (large node of the sure level, key) memberships."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, held, n, seen = _Trie(p), [], 0, np.empty(0, dtype=[("a", np.int64), ("b", np.int64)])
 
-        def out(kind, a, b, lead):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b), pa.array(lead)], ["kind", "a", "b", "lead"])
+        def out(kind, a, b):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
 
         def flush(last: bool):
             nonlocal held, n, seen
             cols = [np.concatenate([h[i] for h in held]) if held else np.empty(0, t) for i, t in enumerate((np.int32, np.uint64, np.int64, np.uint64))]
             held, n = [], 0
-            pairs, hot = trie.feed(*cols, last)
+            pairs, _ = trie.feed(*cols, last)
             if pairs:
                 a, b = np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])
                 both = np.empty(len(a), dtype=seen.dtype)
@@ -269,12 +283,13 @@ def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
                 both = both[both["a"] != both["b"]]
                 seen = np.unique(np.concatenate([seen, both]))  # the trees of one task find many pairs again
                 if len(seen) > 200_000 or last:
-                    yield out(0, seen["a"], seen["b"], np.zeros(len(seen), np.int64))
+                    yield out(0, seen["a"], seen["b"])
                     seen = seen[:0]
             elif last and len(seen):
-                yield out(0, seen["a"], seen["b"], np.zeros(len(seen), np.int64))
-            for leaf, key, lead in hot:
-                yield out(1, leaf, key, lead)
+                yield out(0, seen["a"], seen["b"])
+            for node, key in trie.wide:
+                yield out(1, node, key)
+            trie.wide = []
 
         for batch in batches:
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy().view(np.uint64)))
@@ -284,7 +299,64 @@ def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
         yield from flush(True)
 
     ordered = rows.repartition("part").sortWithinPartitions("part", "label", "key")
-    return ordered.mapInArrow(walk, "kind tinyint, a bigint, b bigint, lead bigint")
+    return ordered.mapInArrow(walk, "kind tinyint, a bigint, b bigint")
+
+
+def across(wide: DataFrame, sets: DataFrame, roots: DataFrame, p: ForestParameters) -> DataFrame:
+    """(a, b): the pairs of each large node that are in different components and may have the similarity.
+
+    ``wide`` has (node, key). Two sets differ in at least as many words as the parities of their hashed words do, so the bound
+    drops no pair. Members of one component never meet, which keeps a long family from being squared. A node above
+    ``block_rows`` is cut into blocks; a block's task has its rows and those of later blocks.
+    """
+    t = round(p.threshold * 1000)
+    names = ["node", "block", "mine", "component", "key", "size", "b0", "b1"]
+    bits = [F.expr(f"aggregate(words, 0L, (b, w) -> if((w & 64) = {64 * i}, b ^ shiftleft(1L, cast(w & 63 as int)), b))").alias(f"b{i}") for i in (0, 1)]
+    one = sets.groupBy("key").agg(F.first("words").alias("words")).select("key", F.size("words").alias("size"), *bits)
+    one = one.join(roots.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    rows = wide.distinct().join(one, "key")
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    rows = rows.join(nodes.select("node", F.ceil(F.col("n") / p.block_rows).cast("int").alias("blocks")), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).withColumn("mine", F.col("own") == F.col("block"))
+
+    def compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, _, mine, component, key, size, b0, b1 = cols
+        own = np.flatnonzero(mine)
+        step = max(1, 1_000_000 // len(key))
+        for at in range(0, len(own), step):
+            i = own[at : at + step]
+            # sorted by component: a tile within one leaves that component out
+            j = np.flatnonzero(component != component[i[0]]) if component[i[0]] == component[i[-1]] else np.arange(len(key))
+            differ = np.bitwise_count(b0[i, None] ^ b0[None, j]).astype(np.int32) + np.bitwise_count(b1[i, None] ^ b1[None, j])
+            r, c = np.nonzero(differ * (1000 + t) <= (size[i, None] + size[None, j]) * (1000 - t))
+            x, y = i[r], j[c]
+            keep = (component[x] != component[y]) & (~mine[y] | (x < y))
+            if keep.any():
+                a, b = key[x[keep]], key[y[keep]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the rows of the block that is open
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                yield from compare([np.concatenate(x) for x in zip(*held)])
+                held.clear()
+
+        for batch in batches:
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [batch.column(k).to_numpy().view(np.uint64) for k in (6, 7)]
+            if not batch.num_rows:
+                continue
+            begin = np.concatenate([[0], np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1])
+            for s, e in zip(begin, np.append(begin[1:], batch.num_rows)):
+                if held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][s], cols[1][s]):
+                    yield from flush()
+                held.append([x[s:e] for x in cols])
+        yield from flush()
+
+    ordered = rows.select(*names).repartition("node", "block").sortWithinPartitions("node", "block", "component")
+    return ordered.mapInArrow(work, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -314,18 +386,9 @@ def near_duplicate_groups(spark: SparkSession, df: DataFrame, id_col: str, text_
     links = scratch.keep(verified(found.where("kind = 0"), sets, p.threshold), "links")
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     roots = scratch.keep(connected_components(spark, edges, scratch, reduce_above=1_000_000), "roots")
-    hot = found.where("kind = 1").select(F.col("a").alias("leaf"), F.col("b").alias("key"), "lead").distinct()
-    if not hot.isEmpty():
-        # In a large leaf, what its leader's group does not hold is compared with all the rest of the leaf.
-        comp = roots.select(F.col("v").alias("key"), "component")
-        lead = comp.select(F.col("key").alias("lead"), F.col("component").alias("of_lead"))
-        hot = hot.join(comp, "key", "left").join(lead, "lead", "left").select(
-            "leaf", "key", F.coalesce("component", "key").alias("component"), F.coalesce("of_lead", "lead").alias("of_lead")
-        )
-        hot = scratch.keep(hot, "hot")
-        apart = hot.where("component <> of_lead").select("leaf", F.col("key").alias("a"), F.col("component").alias("ca"))
-        more = apart.join(hot, "leaf").where("ca <> component").select(F.least("a", "key").alias("a"), F.greatest("a", "key").alias("b"))
-        more = scratch.keep(verified(more, sets, p.threshold), "more")
+    wide = found.where("kind = 1").select(F.col("a").alias("node"), F.col("b").alias("key"))
+    if not wide.isEmpty():
+        more = scratch.keep(verified(across(wide, sets, roots, p), sets, p.threshold), "more")
         if not more.isEmpty():
             edges = edges.union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
             roots = scratch.keep(connected_components(spark, edges, scratch, reduce_above=1_000_000), "roots")

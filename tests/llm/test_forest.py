@@ -115,3 +115,19 @@ def test_trie_in_chunks(chunk):
 
     whole, cut = run(n), run(chunk)
     assert whole[0] and whole[1] and cut == whole
+
+
+def test_pairs_of_crowded_nodes(spark):
+    """Similar records that share few of their uncommon words, in nodes that are full of other records, on one task and in blocks."""
+    r = random.Random(3)
+    common, pool = [f"c{k}" for k in range(23)], [f"u{k}" for k in range(100)]
+    rows = []
+    for f in range(400):
+        both = r.sample(pool, 4)
+        rows += [(2 * f + k, " ".join(common + both + r.sample([w for w in pool if w not in both], 3))) for k in (0, 1)]
+    truth = brute(rows)
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    for block_rows in (20_000, 5):
+        p = ForestParameters(node_rows=1, common_share=0.2, block_rows=block_rows)
+        got = {x.id: x.group_id for x in near_duplicate_groups(spark, df, "id", "text", p).collect()}
+        assert set(got) <= set(truth) and sum(got.get(i) == g for i, g in truth.items()) >= 0.99 * len(truth)
