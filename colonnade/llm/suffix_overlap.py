@@ -4,9 +4,9 @@ Texts are compared as word sets, so the text that goes into the suffix array is
 frequent. Two records of similarity t or more share one of the first n - ceil(t n) + 1 words of either, and before the
 first word that they share there are only words that they do not share. So the suffixes that begin within that stretch
 are sorted in partitions by their first word; in a run of neighbours with a common prefix, each pair of suffixes from
-different splits is a shared span if the words before the two starts, and the parity bitmaps of the two word sets, leave
-room for the similarity (both tests are exact bounds). Spans are merged into the covered share of each record pair, and
-every pair with a span is verified on its full word sets.
+different splits is a candidate if the words before the two starts, and the parity bitmaps of the two word sets, leave
+room for the similarity (both tests are exact bounds). Every candidate is verified on its full word sets, and the covered
+share of a pair is taken from them too: over words in one order, the shared spans of two whole texts are their common words.
 
 The named method takes the texts as they stand. There a pair of 0.8 similarity need not share any long span (clauses
 change places, aliases change everywhere), which is why the words are brought into one order first.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from colonnade.plans.scratch import Scratch
 
-TAIL = 6  #: words of a suffix that are sorted on; longer common prefixes are cut there, which changes no pair
+TAIL = 6  #: words of a suffix that are sorted on
 
 
 def field_sets(df: DataFrame, id_col: str, side_col: str, fields: list[str], min_words: int) -> DataFrame:
@@ -38,14 +38,12 @@ def field_sets(df: DataFrame, id_col: str, side_col: str, fields: list[str], min
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted suffixes with a common first word: (train, eval, at_train, at_eval, length) of the spans across splits.
+    """Runs of sorted suffixes with a common first word: (train, eval) of the pairs across splits that may be similar.
 
     Holds one run of bounded length at a time; pairs go out in slices.
     """
-    names = ["train", "eval", "at_train", "at_eval", "span"]
-
     def pairs(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, pos, tails, room, bits = run
+        key, side, pos, _, room, bits = run
         tr, ev = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(tr) or not len(ev):
             return
@@ -59,11 +57,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = a[fits], b[fits]
             if not len(a):
                 continue
-            same = tails[a] == tails[b]
-            span = np.where(same.all(1), same.shape[1], np.argmin(same, 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[a]), pa.array(key[b]), pa.array(pos[a]), pa.array(pos[b]), pa.array(span.astype(np.int32))], names
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b])], ["train", "eval"])
 
     rest: list[np.ndarray] | None = None
     for batch in batches:
@@ -96,7 +90,7 @@ def cross_split_pairs(
 ) -> DataFrame:
     """(field, train_id, eval_id, similarity, coverage) of all records of the two sides that agree in a field.
 
-    coverage is the share of the evaluation text's words that lie in shared spans of the examined stretch. Split labels
+    coverage is the share of the evaluation text's distinct words that the training text has too, 1 for a copy. Split labels
     count without case and surrounding blanks; null or another label is on neither side. Null, empty and short texts
     agree with nothing. Equal word sets are one set per field and side until the end. Runs of the suffix array with more
     than ``run_rows`` suffixes are cut into blocks that meet pairwise as rows of a join instead of in one task.
@@ -123,22 +117,16 @@ def cross_split_pairs(
     runs = suffixes.groupBy("run").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo = 0 and hi = 1")
     live = scratch.keep(suffixes.join(runs.select("run", "n"), "run"), "suffixes")
     sorted_ = live.where(F.col("n") <= run_rows).repartition("run").sortWithinPartitions("run", "tail").select("key", "side", "pos", "tail", "room", "bits")
-    spans = sorted_.mapInArrow(_spans, "train bigint, eval bigint, at_train int, at_eval int, span int")
+    spans = sorted_.mapInArrow(_spans, "train bigint, eval bigint")
     large = live.where(F.col("n") > run_rows)
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / run_rows)).cast("int")
     salt = large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), "blocks"))
-    a = salt.where("side = 0").select("run", "mine", F.col("key").alias("train"), F.col("pos").alias("at_train"), F.col("tail").alias("ta"), F.col("room").alias("ra"), F.col("bits").alias("ba"))
-    b = salt.where("side = 1").select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.col("key").alias("eval"), F.col("pos").alias("at_eval"), F.col("tail").alias("tb"), F.col("room").alias("rb"), F.col("bits").alias("bb"))
+    a = salt.where("side = 0").select("run", "mine", F.col("key").alias("train"), F.col("pos").alias("at_train"), F.col("room").alias("ra"), F.col("bits").alias("ba"))
+    b = salt.where("side = 1").select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.col("key").alias("eval"), F.col("pos").alias("at_eval"), F.col("room").alias("rb"), F.col("bits").alias("bb"))
     b = b.withColumn("mine", F.col("mine").cast("bigint"))
-    run_length = F.aggregate(
-        F.zip_with("ta", "tb", lambda x, y: x == y), F.struct(F.lit(True).alias("on"), F.lit(0).alias("n")),
-        lambda s, e: F.struct((s["on"] & e).alias("on"), (s["n"] + (s["on"] & e).cast("int")).alias("n")), lambda s: s["n"],
-    )
     fits = (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) * 1000 <= F.col("ra") + F.col("rb")) & ((F.col("at_train") + F.col("at_eval")) * 1000 <= F.col("ra") + F.col("rb"))
-    spans = spans.union(a.join(b, ["run", "mine"]).where(fits).select("train", "eval", "at_train", "at_eval", run_length.alias("span")))
-    covered = F.flatten(F.collect_set(F.sequence(F.col("at_eval"), F.col("at_eval") + F.col("span") - 1)))
-    merged = spans.groupBy("train", "eval").agg(F.size(F.array_distinct(covered)).alias("covered"))
-    merged = scratch.keep(merged, "spans")
+    spans = spans.union(a.join(b, ["run", "mine"]).where(fits).select("train", "eval"))
+    merged = scratch.keep(spans.distinct(), "spans")
     body = ordered.select("key", "side", "text", "field")
     both = merged.join(body.where("side = 0").select(F.col("key").alias("train"), F.col("text").alias("ta")), "train").join(
         body.where("side = 1").select(F.col("key").alias("eval"), F.col("text").alias("tb"), "field"), "eval"
@@ -146,7 +134,7 @@ def cross_split_pairs(
     overlap = F.size(F.array_intersect("ta", "tb"))
     union = F.size("ta") + F.size("tb") - overlap
     good = both.where(overlap * 1000 >= round(threshold * 1000) * union).select(
-        "train", "eval", "field", (overlap / union).alias("similarity"), (F.col("covered") / F.size("tb")).alias("coverage")
+        "train", "eval", "field", (overlap / union).alias("similarity"), (overlap / F.size("tb")).alias("coverage")
     )
     left = members.where("side = 0").select(F.col("key").alias("train"), F.col("id").alias("train_id"))
     right = members.where("side = 1").select(F.col("key").alias("eval"), F.col("id").alias("eval_id"))

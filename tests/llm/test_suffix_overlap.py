@@ -56,3 +56,15 @@ def test_one_side_and_empty(spark):
     rows = [(1, "train", "a b c d e f g h i j", None), (2, None, "a b c d e f g h i j", None)]
     assert cross_split_pairs(spark, spark.createDataFrame(rows, SHAPE), "id", "split", ["q", "e"]).count() == 0
     assert cross_split_pairs(spark, spark.createDataFrame([], SHAPE), "id", "split", ["q", "e"]).count() == 0
+
+
+@pytest.mark.parametrize("run_rows", [4000, 2])
+def test_coverage_of_whole_texts(spark, run_rows):
+    """A copy is covered whole at any length; a text with words of its own by the share of the others."""
+    rows = []
+    for i, n in enumerate((10, 30, 60, 300)):
+        t = [f"w{i}_{k}" for k in range(n)]
+        rows += [(3 * i, "train", " ".join(t), None), (3 * i + 1, "dev", " ".join(t[::-1]), None), (3 * i + 2, "test", " ".join([*t[1:], f"x{i}"]), None)]
+    got = cross_split_pairs(spark, spark.createDataFrame(rows, SHAPE), "id", "split", ["q"], run_rows=run_rows).collect()
+    want = {(3 * i, 3 * i + 1): 1.0 for i in range(4)} | {(3 * i, 3 * i + 2): 1 - 1 / n for i, n in enumerate((10, 30, 60, 300))}
+    assert {(r.train_id, r.eval_id): r.coverage for r in got} == pytest.approx(want)
