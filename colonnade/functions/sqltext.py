@@ -87,6 +87,44 @@ def tables_of(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)"), F.lit(1))))
 
 
+#: Further words that are no column where they stand alone.
+NO_COLUMNS = [
+    "any", "cube", "current_date", "current_time", "current_timestamp", "escape", "false", "fetch", "first", "following", "glob", "ilike", "interval", "last", "lateral", "natural", "next",
+    "nulls", "only", "preceding", "range", "recursive", "regexp", "rlike", "rollup", "row", "rows", "similar", "some", "true", "unbounded", "unknown", "using", "values", "window",
+]
+
+
+def columns_of(c: Column) -> Column:
+    """The columns of a query as ``table.column``, without quotes and repeats, in order.
+
+    Aliases are resolved over the whole text. A name without a table belongs to the only table, if there is but one, and else
+    is ``.column``, since without the schema its table is not known. Names given to results and to subqueries are no columns.
+    """
+    bare = F.regexp_replace(without_literals(c), r"(?s)```[a-z]*|--[^\n]*|/\*.*?\*/", " ")
+    plain = F.regexp_replace(bare, "[`\"]", "")
+    words = "|".join(KEYWORDS + NO_COLUMNS)
+    source = rf"\b(?:from|join)\s+([a-z_]\w*)(?:\s+(?:as\s+)?(?!(?:{words})\b)([a-z_]\w*))?"
+    qualified = r"\b[a-z_]\w*\.[a-z_]\w*"
+    named = r"\b([a-z_]\w*)(?:\s*\([^()]*\))?\s+as\s*(?:(?:not\s+)?materialized\s*)?\("
+    tables, aliases = F.regexp_extract_all(plain, F.lit(source), F.lit(1)), F.regexp_extract_all(plain, F.lit(source), F.lit(2))
+    stored = F.array_distinct(F.array_except(tables, F.regexp_extract_all(plain, F.lit(named), F.lit(1))))
+
+    def resolved(t: Column) -> Column:
+        owner, at = F.split_part(t, F.lit("."), F.lit(1)), F.array_position(aliases, F.split_part(t, F.lit("."), F.lit(1)))
+        owner = F.when(at > 0, F.get(tables, (at - 1).cast("int"))).otherwise(owner)
+        return F.concat(owner, F.lit("."), F.split_part(t, F.lit("."), F.lit(2)))
+
+    rest = plain
+    for p in (source, qualified, named, r"\bas\s+[a-z_]\w*"):
+        rest = F.regexp_replace(rest, p, " ; (" if p == named else " ; ")
+    loose = F.regexp_extract_all(rest, F.lit(r"\b[a-z_]\w*\b(?!\s*\()"), F.lit(0))
+    loose = F.array_except(loose, F.array(*[F.lit(w) for w in KEYWORDS + NO_COLUMNS]))
+    loose = F.array_except(loose, F.regexp_extract_all(plain, F.lit(r"\bas\s+([a-z_]\w*)"), F.lit(1)))
+    owner = F.when(F.size(stored) == 1, F.get(stored, F.lit(0))).otherwise("")
+    loose = F.transform(loose, lambda t: F.concat(owner, F.lit("."), t))
+    return F.array_sort(F.array_distinct(F.concat(F.transform(F.regexp_extract_all(plain, F.lit(qualified), F.lit(0)), resolved), loose)))
+
+
 def join_conditions(c: Column) -> Column:
     """Equality conditions between two qualified columns, each with its smaller side first."""
     plain = F.regexp_replace(without_literals(c), "[`\"]", "")

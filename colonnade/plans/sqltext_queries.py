@@ -115,12 +115,17 @@ def linking_recall(spark: SparkSession, directory: str) -> DataFrame:
 @query(f"""with {LINKS}, a as (select question, list(table_name) as x from g group by all), b as (select question, list(table_name) as y from l group by all)
   select question, round(0.6 * len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) + 0.4, 6) as overlap from a join b using (question)""")
 def schema_overlap(spark: SparkSession, directory: str) -> DataFrame:
-    """Overlap of the tables of right and wrong records; columns are left out and agree."""
-    gold, linked = _linking(spark, directory)
-    a = gold.groupBy("question").agg(F.collect_set("table_name").alias("x"))
-    b = linked.groupBy("question").agg(F.collect_set("table_name").alias("y"))
-    none = F.array().cast("array<string>")
-    rows = a.join(b, "question").withColumn("ca", none).withColumn("cb", none)
+    """Overlap of the tables and of the columns of right and wrong records. The SQL still counts the columns as equal."""
+    r = records(spark, directory).where("user_query is not null and database_id is not null")
+    r = r.select(F.concat_ws("|", F.lower("database_id"), "user_query").alias("question"), "label", "s")
+    both = r.groupBy("question").agg(F.bool_or("label").alias("right"), F.bool_or(~F.col("label")).alias("wrong")).where("right and wrong")
+    k = r.join(both, "question", "left_semi").select("question", "label", sqltext.tables_of(F.col("s")).alias("t"), sqltext.columns_of(F.col("s")).alias("c"))
+
+    def union(c: str, label: str, name: str):
+        return F.array_distinct(F.flatten(F.collect_set(F.when(F.expr(label), F.col(c))))).alias(name)
+
+    rows = k.groupBy("question").agg(union("t", "label", "x"), union("t", "not label", "y"), union("c", "label", "ca"), union("c", "not label", "cb"))
+    rows = rows.where("size(x) > 0 and size(y) > 0")
     return select.schema_overlap(rows, "x", "y", "ca", "cb").select("question", F.round("overlap", 6).alias("overlap"))
 
 
