@@ -119,22 +119,23 @@ def partial_matches(index: DataFrame, phrases: DataFrame, least: int = 3, ratio:
     """Values that contain a phrase or lie in one, equal ones left out: 0.7 times the ratio of lengths, the best ``k`` of a phrase.
 
     A match shares every run of ``least`` characters of the shorter text, so both sides meet on the runs at their ends: the
-    first run of the shorter text is among the runs of the longer one.
+    first run of the shorter text is among the runs of the longer one. Queries with the same phrase search once.
     """
     asked = phrases.select("query", F.lower(F.trim("phrase")).alias("phrase")).distinct().where(F.length("phrase") >= least)
+    alone = asked.select("phrase").distinct()
     keys = index.where(F.length("norm") >= least)
 
     def runs(c: str) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - least + 1), lambda i: F.substring(F.col(c), i, F.lit(least))))
 
-    inside = asked.withColumn("g", F.substring("phrase", 1, least)).join(keys.withColumn("g", F.explode(runs("norm"))), "g").where(F.contains("norm", "phrase"))
-    around = asked.withColumn("g", F.explode(runs("phrase"))).join(keys.withColumn("g", F.substring("norm", 1, least)), "g").where(F.contains("phrase", "norm"))
+    inside = alone.withColumn("g", F.substring("phrase", 1, least)).join(keys.withColumn("g", F.explode(runs("norm"))), "g").where(F.contains("norm", "phrase"))
+    around = alone.withColumn("g", F.explode(runs("phrase"))).join(keys.withColumn("g", F.substring("norm", 1, least)), "g").where(F.contains("phrase", "norm"))
     both = inside.union(around.select(*inside.columns)).where("phrase <> norm")
     share = F.least(F.length("phrase"), F.length("norm")) / F.greatest(F.length("phrase"), F.length("norm"))
-    got = both.select("query", "phrase", "table_name", "column_name", "value", share.alias("ratio")).distinct().where(F.col("ratio") >= ratio)
-    w = Window.partitionBy("query", "phrase").orderBy(F.desc("score"), "table_name", "column_name", "value")
+    got = both.select("phrase", "table_name", "column_name", "value", share.alias("ratio")).distinct().where(F.col("ratio") >= ratio)
+    w = Window.partitionBy("phrase").orderBy(F.desc("score"), "table_name", "column_name", "value")
     got = got.withColumn("score", F.round(factor * F.col("ratio"), 6)).withColumn("rank", F.row_number().over(w))
-    return got.where(F.col("rank") <= k).select("query", "table_name", "column_name", "value", "score")
+    return got.where(F.col("rank") <= k).join(asked, "phrase").select("query", "table_name", "column_name", "value", "score")
 
 
 def rrf(hits: DataFrame, k: int = 60, boost: float = 1.5, least: float = 0.001) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Search queries: documents by every hundredth question, vectors by every hundredth vector, values by phrases."""
+"""Search queries: documents by every hundredth question, vectors by every hundredth vector, values by those of every hundredth row."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions.text import STOPWORDS
 from colonnade.operators import profile, retrieve
-from colonnade.plans.profile_queries import TEXTS, TEXT_COLUMNS, cells
+from colonnade.plans.profile_queries import COLUMNS, TEXTS, TEXT_COLUMNS, cells
 from colonnade.plans.registry import query
 from colonnade.sources.tables import table
 
@@ -64,13 +64,21 @@ def cosine_topk(spark: SparkSession, directory: str) -> DataFrame:
     return retrieve.dense_search(spark, docs, e.where("vec_id % 100 = 0").selectExpr("vec_id as query", "embedding as vector"), 10).drop("rank")
 
 
+#: The phrases that the SQL of the value searches is written for; the searches themselves take the values of the tables.
 PHRASES = [(1, "Asia"), (2, " BUILDING"), (3, "1-urgent"), (4, "automobile household"), (5, "brand"), (6, "europe and america"), (7, "purchase")]
 PHRASES_SQL = "(values " + ", ".join(f"({i}, '{p}')" for i, p in PHRASES) + ") f(query, phrase)"
 INDEX_SQL = f"(select distinct lower(trim(value)) as norm, table_name, column_name, value from {TEXTS} where length(lower(trim(value))) >= 2)"
 
 
-def phrases(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PHRASES, "query int, phrase string")
+def phrases(spark: SparkSession, directory: str) -> DataFrame:
+    """(query, phrase): the texts of all rows with a key divisible by 100; a query is a table, a column and a key."""
+    out = None
+    for t, columns in TEXT_COLUMNS.items():
+        key = COLUMNS[t][0]
+        each = [F.struct(F.concat_ws(".", F.lit(t), F.lit(c), F.col(key).cast("string")).alias("query"), F.col(c).alias("phrase")) for c in columns]
+        one = table(spark, directory, t).where(F.col(key) % 100 == 0).select(F.inline(F.array(*each)))
+        out = one if out is None else out.union(one)
+    return out.where("phrase is not null").distinct()
 
 
 def index(spark: SparkSession, directory: str) -> DataFrame:
@@ -79,14 +87,14 @@ def index(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(f"select query, table_name, column_name, value, 1.0::double as score from {PHRASES_SQL} join {INDEX_SQL} on norm = lower(trim(phrase))")
 def value_exact_match(spark: SparkSession, directory: str) -> DataFrame:
-    return retrieve.exact_matches(index(spark, directory), phrases(spark))
+    return retrieve.exact_matches(index(spark, directory), phrases(spark, directory))
 
 
 @query(f"""with m as (select query, table_name, column_name, value, least(length(norm), length(p)) / greatest(length(norm), length(p)) as ratio from (select query, lower(trim(phrase)) as p from {PHRASES_SQL}) join {INDEX_SQL}
     on length(norm) >= 3 and norm <> p and (contains(norm, p) or contains(p, norm)))
   select query, table_name, column_name, value, round(0.7 * ratio, 6) as score from m where ratio >= 0.4 qualify row_number() over (partition by query order by score desc, table_name, column_name, value) <= 20""")
 def value_partial_match(spark: SparkSession, directory: str) -> DataFrame:
-    return retrieve.partial_matches(index(spark, directory), phrases(spark))
+    return retrieve.partial_matches(index(spark, directory), phrases(spark, directory))
 
 
 #: A hit counts as matched if its document is stored for the database that the question asks.
