@@ -3,16 +3,19 @@
 A record is its set of words. Each of several trees orders all records by a label, a sequence of MinHash values, so that
 records which agree on a prefix of the label lie next to each other: the sorted form of a prefix trie. A record is
 compared with the records of the longest-lived node that is still small: matched prefixes are shortened, level by
-level, as far as the node stays within ``node_rows``, which is where the recall comes from; ``tree_count`` gives the trees
-that reach ``target_recall`` at the threshold. Pairs are pre-filtered by a 64-bit sketch and then verified on the full
-word sets. Nodes that stay large down to the last level hold long families of near copies: their records are tied to
-the node's first record. ``tree_count`` counts a pair as found once it shares a node of ``sure_level`` levels, so nodes of
-that depth that are too large to be compared at once are completed in a second pass: all of their pairs that are not yet
-in one group are compared, by an exact bound on the words that may differ and then on the full sets.
+level, as far as the node stays within ``node_rows``; ``tree_count`` gives the trees that reach ``target_recall`` at the
+threshold. Pairs are pre-filtered by a 64-bit sketch and then verified on the full word sets. Nodes that stay large down
+to the last level hold long families of near copies: their records are tied to the node's first record.
+
+``tree_count`` counts a pair as found once it shares a node of ``sure_level`` levels, so the recall must not depend on how
+many rows such a node has. Those that are too large to be compared at once are completed in a second pass: all of their
+pairs that are not yet in one group are compared, by an exact bound on the words that may differ and then on the full
+sets. A prefix that holds much of a tree, known from a sample, is split over tasks by its next level and counts as large.
 
 Two forests are built. The first takes its MinHash over the words that fewer than ``common_share`` of the records use,
-since the words shared by most queries say nothing; the second over all words, with longer labels, for the records that
-have few uncommon words, where two similar records may have none in common.
+since the words shared by most queries say nothing; the second over all words, with longer labels, for the records whose
+uncommon words do not bound the similarity from below (``rare_similarity``): a pair is certain in the first forest if that
+bound holds at either end, and else both of its ends are in the second.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from colonnade.llm.components import connected_components
 from colonnade.plans.scratch import Scratch
 
 LEVELS = 4
+TREE_BITS = 26  #: bits of a label's first level that ``part`` holds, so that first nodes are apart up to billions of sets
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -44,6 +48,8 @@ class ForestParameters:
     node_rows: int = 96
     sketch_slack: float = 5.0  #: standard deviations by which a sketch may miss the threshold
     block_rows: int = 20_000  #: rows of a large node that one task compares with the rest of the node
+    hot_share: float = 0.002  #: share of a tree's rows from which a prefix is split over tasks by its next level
+    sample_sets: int = 20_000  #: sets in the sample that finds such prefixes
 
     def tree_count(self, similarity: float, depth: int) -> int:
         """Trees after which a pair of that similarity has shared a prefix of that depth with the target's probability."""
@@ -59,7 +65,7 @@ class ForestParameters:
 
     def sure_level(self, part: np.ndarray) -> np.ndarray:
         """Levels that a pair is to share in the tree of each row, as the number of trees assumes."""
-        return np.where(part >> 16 < self.rare_trees, 1, 2)
+        return np.where(part >> TREE_BITS < self.rare_trees, 1, 2)
 
     @property
     def sketch_limit(self) -> int:
@@ -121,21 +127,32 @@ def _seeds(n: int, stream: int) -> np.ndarray:
     return np.random.default_rng([20, stream]).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def labels(sets: DataFrame, common: np.ndarray, p: ForestParameters) -> DataFrame:
-    """(part, label, key, sketch): a row for each distinct set and tree. part is the tree with the label's first level."""
-    rare_seeds, full_seeds, bit_seeds = _seeds(p.rare_trees * LEVELS, 1), _seeds(p.full_trees * LEVELS * p.full_depth, 2), _seeds(64, 3)
-    threshold = p.threshold
+def labels(sets: DataFrame, common: np.ndarray, p: ForestParameters, hot: dict[int, np.ndarray] | None = None) -> DataFrame:
+    """(part, label, key, sketch): a row for each distinct set and tree. part is the tree with more bits of the first level.
+
+    ``hot`` has, for each level, the prefixes that are known to be large. The number of levels of a row whose prefixes are is
+    in the upper half of part.
 
-    def pack(mins: np.ndarray, depth: int) -> np.ndarray:
-        """One uint64 of four 16-bit levels; a level mixes ``depth`` MinHash values."""
-        label = np.zeros(mins.shape[1], np.uint64)
+    Trees share their hash functions: the deeper levels of a tree are the first ones of the trees after it. The levels that a
+    pair has to share (``sure_level``) are of different functions in each tree, so the trees stay independent there.
+    """
+    rare_sure, full_sure = 1, 2 * p.full_depth
+    rare_seeds = _seeds(max(p.rare_trees * rare_sure, LEVELS), 1)
+    full_seeds, bit_seeds = _seeds(max(p.full_trees * full_sure, LEVELS * p.full_depth), 2), _seeds(64, 3)
+    threshold, rare_similarity = p.threshold, p.rare_similarity
+    hot = hot or {}
+
+    def pack(mins: np.ndarray, tree: int, sure: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """One uint64 of four 16-bit levels, and more bits of the first; a level mixes ``depth`` MinHash values."""
+        label, first = np.zeros(mins.shape[1], np.uint64), None
         for level in range(LEVELS):
             mixed = np.zeros(mins.shape[1], np.uint64)
-            for m in mins[level * depth : (level + 1) * depth]:
-                mixed = (mixed + m + np.uint64(1)) * GOLDEN
+            for k in range(depth):
+                mixed = (mixed + mins[(tree * sure + level * depth + k) % len(mins)] + np.uint64(1)) * GOLDEN
                 mixed ^= mixed >> np.uint64(31)
             label = label << np.uint64(16) | (mixed & np.uint64(0xFFFF))
-        return label
+            first = mixed >> np.uint64(64 - TREE_BITS) if first is None else first
+        return label, first.astype(np.int64)
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -155,31 +172,71 @@ def labels(sets: DataFrame, common: np.ndarray, p: ForestParameters) -> DataFram
                     sketch = sketch << np.uint64(1) | (m & np.uint32(1))
                 n_rare = np.add.reduceat(rare.astype(np.int64), starts)
                 some = np.flatnonzero(n_rare)
-                swaps = np.floor(sizes * (1 - threshold) / (1 + threshold) + 1e-9)
-                poor = np.flatnonzero(n_rare <= 2 * swaps)  # such a pair may differ in all of its uncommon words
-
-                def rows(tree: int, who: np.ndarray, label: np.ndarray):
-                    part = (np.int64(tree) << np.int64(16) | (label >> np.uint64(48)).astype(np.int64)).astype(np.int32)
-                    cols = [pa.array(part), pa.array(label.view(np.int64)), pa.array(keys[who]), pa.array(sketch[who].view(np.int64))]
+                # A partner may lack (1 - t) n words; if those can be so many of the uncommon ones that the similarity of the
+                # rest falls below ``rare_similarity``, and the partner is in the same case, only the second forest is sure.
+                gone = np.floor(sizes * (1 - threshold) + 1e-9)
+                poor = np.flatnonzero(gone > (1 - rare_similarity) * n_rare + 1e-9)
+
+                def rows(tree: int, who: np.ndarray, packed: tuple[np.ndarray, np.ndarray]):
+                    label, first = packed
+                    part = (np.int64(tree) << np.int64(TREE_BITS) | first).astype(np.int32)
+                    deep = np.zeros(len(who), np.int64)
+                    for level in range(1, LEVELS + 1):
+                        known = hot.get(level)
+                        if known is None or not len(known):
+                            break
+                        here = prefix_id(part, label, level)
+                        pos = np.minimum(np.searchsorted(known, here), len(known) - 1)
+                        deep[(known[pos] == here) & (deep == level - 1)] = level
+                    cols = [pa.array(deep << np.int64(32) | part), pa.array(label.view(np.int64)), pa.array(keys[who]), pa.array(sketch[who].view(np.int64))]
                     return pa.RecordBatch.from_arrays(cols, ["part", "label", "key", "sketch"])
 
                 if len(some):
                     at_rare = np.concatenate([[0], np.cumsum(n_rare[some])[:-1]])
                     values = flat[rare]
+                    m = _mins(values, at_rare, rare_seeds)
                     for t in range(p.rare_trees):
-                        m = _mins(values, at_rare, rare_seeds[t * LEVELS : (t + 1) * LEVELS])
-                        yield rows(t, some, pack(m, 1))
+                        yield rows(t, some, pack(m, t, rare_sure, 1))
                 if len(poor):
                     inside = np.zeros(len(keys), bool)
                     inside[poor] = True
                     values = flat[np.repeat(inside, sizes)]
                     at_poor = np.concatenate([[0], np.cumsum(sizes[poor])[:-1]])
-                    per = LEVELS * p.full_depth
+                    m = _mins(values, at_poor, full_seeds)
                     for t in range(p.full_trees):
-                        m = _mins(values, at_poor, full_seeds[t * per : (t + 1) * per])
-                        yield rows(p.rare_trees + t, poor, pack(m, p.full_depth))
+                        yield rows(p.rare_trees + t, poor, pack(m, t, full_sure, p.full_depth))
+
+    return sets.select("key", "words").mapInArrow(forest, "part bigint, label bigint, key bigint, sketch bigint")
+
+
+def prefix_id(part: np.ndarray, label: np.ndarray, level: int) -> np.ndarray:
+    """A hash of the first ``level`` levels of labels."""
+    x = (part.astype(np.uint64) << np.uint64(36)) ^ (label >> np.uint64(16 * (LEVELS - level))) * GOLDEN ^ np.uint64(level)
+    return (x ^ x >> np.uint64(31)) * GOLDEN
+
+
+def hot_prefixes(sets: DataFrame, common: np.ndarray, p: ForestParameters) -> dict[int, np.ndarray]:
+    """For each level the sorted prefixes of about ``hot_share`` of a tree's rows or more, found in a sample of about
+    ``sample_sets`` sets. They only decide how rows are partitioned, and which nodes are large without being counted."""
+    n = sets.count()
+    every = max(1, n // p.sample_sets)
+    rows = labels(sets.where(F.pmod(F.xxhash64("key"), F.lit(every)) == 0), common, p)
+    least = max(p.node_rows + 1 if every == 1 else 2, p.hot_share * n / every)
+    trees, levels = p.rare_trees + p.full_trees, np.arange(1, LEVELS + 1)
+
+    def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part, label = batch.column(0).to_numpy().astype(np.int32), batch.column(1).to_numpy().view(np.uint64)
+            each = [np.unique(prefix_id(part, label, int(k)).view(np.int64), return_counts=True) for k in levels]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(levels, [len(e[0]) for e in each])), pa.array(np.concatenate([e[0] for e in each])), pa.array(np.concatenate([e[1] for e in each]))],
+                ["level", "id", "n"],
+            )
 
-    return sets.select("key", "words").mapInArrow(forest, "part int, label bigint, key bigint, sketch bigint")
+    counts = rows.select("part", "label").mapInArrow(ids, "level bigint, id bigint, n bigint").groupBy("level", "id").agg(F.sum("n").alias("n"))
+    # at most 1 / hot_share prefixes of a level and tree can be so large
+    found = counts.where(F.col("n") >= least).limit(int(LEVELS * trees / p.hot_share)).collect()
+    return {int(k): np.sort(np.array([r["id"] for r in found if r["level"] == k], np.int64).view(np.uint64)) for k in levels}
 
 
 class _Trie:
@@ -210,7 +267,8 @@ class _Trie:
         start, end = np.arange(n), np.arange(n) + 1
         todo = np.ones(n, bool)
         hold = n  # rows from here on wait for more
-        sure, wide = self.p.sure_level(part), np.zeros(n, bool)
+        sure = self.p.sure_level(part & 0xFFFFFFFF)
+        wide = part >> 32 >= sure  # other tasks have rows of that node
         pairs, hot = [], []
         for level in range(1, LEVELS + 1):
             pa_, lb = self.prefixes(part, label, level)
@@ -239,14 +297,14 @@ class _Trie:
                 if self.leader is not None and self.leader[:2] == (pa_[0], lb[0]):
                     same = node[hot_rows] == 0
                     lk, ls = np.where(same, self.leader[2], lk), np.where(same, self.leader[3], ls)
-                ids = (part[hot_rows].astype(np.uint64) << np.uint64(40)) ^ (label[hot_rows] * GOLDEN)
+                ids = (part[hot_rows].view(np.uint64) << np.uint64(40)) ^ (label[hot_rows] * GOLDEN)
                 hot.append((ids.view(np.int64), key[hot_rows], lk))
                 pairs.append((lk, key[hot_rows]))
                 self.leader = (pa_[-1], lb[-1], lk[-1], ls[-1]) if big[-1] and not last else None
         rows = np.flatnonzero(wide & (np.arange(n) < hold))
         if len(rows):
             second = np.where(sure[rows] == 2, label[rows] >> np.uint64(32) & np.uint64(0xFFFF), np.uint64(0))
-            self.wide.append((part[rows].astype(np.int64) << np.int64(16) | second.astype(np.int64), key[rows]))
+            self.wide.append(((part[rows] & 0xFFFFFFFF) << np.int64(16) | second.astype(np.int64), key[rows]))
         ready = ~todo & (np.arange(n) < hold)
         stop = np.where(ready, end, 0)
         alive = np.flatnonzero(stop - 1 > np.arange(n))
@@ -273,7 +331,7 @@ def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
 
         def flush(last: bool):
             nonlocal held, n, seen
-            cols = [np.concatenate([h[i] for h in held]) if held else np.empty(0, t) for i, t in enumerate((np.int32, np.uint64, np.int64, np.uint64))]
+            cols = [np.concatenate([h[i] for h in held]) if held else np.empty(0, t) for i, t in enumerate((np.int64, np.uint64, np.int64, np.uint64))]
             held, n = [], 0
             pairs, _ = trie.feed(*cols, last)
             if pairs:
@@ -298,7 +356,11 @@ def candidates(rows: DataFrame, p: ForestParameters) -> DataFrame:
                 yield from flush(False)
         yield from flush(True)
 
-    ordered = rows.repartition("part").sortWithinPartitions("part", "label", "key")
+    # a row goes where the first of its prefixes that is not known to be large goes; a large leaf is salted by its keys
+    deep = F.shiftright("part", 32)
+    below = F.expr(f"shiftrightunsigned(label, cast(16 * greatest({LEVELS} - shiftright(part, 32) - 1, 0) as int))")
+    slot = F.when(deep == 0, F.col("part")).otherwise(F.xxhash64("part", below, F.when(deep == LEVELS, F.shiftrightunsigned("key", 58)).otherwise(0)))
+    ordered = rows.repartition(slot).sortWithinPartitions("part", "label", "key")
     return ordered.mapInArrow(walk, "kind tinyint, a bigint, b bigint")
 
 
@@ -307,21 +369,24 @@ def across(wide: DataFrame, sets: DataFrame, roots: DataFrame, p: ForestParamete
 
     ``wide`` has (node, key). Two sets differ in at least as many words as the parities of their hashed words do, so the bound
     drops no pair. Members of one component never meet, which keeps a long family from being squared. A node above
-    ``block_rows`` is cut into blocks; a block's task has its rows and those of later blocks.
+    ``block_rows`` is cut into blocks. The members of its largest component stay in their blocks, and only the others are
+    copied to every block, so a node that one family fills costs its size times the rows outside the family.
     """
     t = round(p.threshold * 1000)
-    names = ["node", "block", "mine", "component", "key", "size", "b0", "b1"]
+    names = ["node", "block", "mine", "major", "component", "key", "size", "b0", "b1"]
     bits = [F.expr(f"aggregate(words, 0L, (b, w) -> if((w & 64) = {64 * i}, b ^ shiftleft(1L, cast(w & 63 as int)), b))").alias(f"b{i}") for i in (0, 1)]
     one = sets.groupBy("key").agg(F.first("words").alias("words")).select("key", F.size("words").alias("size"), *bits)
     one = one.join(roots.select(F.col("v").alias("key"), "component"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     rows = wide.distinct().join(one, "key")
-    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rows = rows.join(nodes.select("node", F.ceil(F.col("n") / p.block_rows).cast("int").alias("blocks")), "node")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), "own"))).withColumn("mine", F.col("own") == F.col("block"))
+    per = rows.groupBy("node", "component").agg(F.count("*").alias("n"))
+    nodes = per.groupBy("node").agg(F.sum("n").alias("n"), F.count("*").alias("components"), F.max_by("component", F.struct("n", "component")).alias("top")).where("components > 1")
+    rows = rows.join(nodes.select("node", "top", F.ceil(F.col("n") / p.block_rows).cast("int").alias("blocks")), "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("key"), "blocks").cast("int")).withColumn("major", F.col("component") == F.col("top"))
+    every = F.when(F.col("major"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("block", F.explode(every)).withColumn("mine", F.col("own") == F.col("block"))
 
     def compare(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, _, mine, component, key, size, b0, b1 = cols
+        _, _, mine, major, component, key, size, b0, b1 = cols
         own = np.flatnonzero(mine)
         step = max(1, 1_000_000 // len(key))
         for at in range(0, len(own), step):
@@ -331,7 +396,8 @@ def across(wide: DataFrame, sets: DataFrame, roots: DataFrame, p: ForestParamete
             differ = np.bitwise_count(b0[i, None] ^ b0[None, j]).astype(np.int32) + np.bitwise_count(b1[i, None] ^ b1[None, j])
             r, c = np.nonzero(differ * (1000 + t) <= (size[i, None] + size[None, j]) * (1000 - t))
             x, y = i[r], j[c]
-            keep = (component[x] != component[y]) & (~mine[y] | (x < y))
+            # two rows of this block meet twice here; two rows outside the largest component meet in the blocks of both
+            keep = (component[x] != component[y]) & np.where(mine[y], x < y, major[x] | (key[x] < key[y]))
             if keep.any():
                 a, b = key[x[keep]], key[y[keep]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -345,7 +411,7 @@ def across(wide: DataFrame, sets: DataFrame, roots: DataFrame, p: ForestParamete
                 held.clear()
 
         for batch in batches:
-            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)] + [batch.column(k).to_numpy().view(np.uint64) for k in (6, 7)]
+            cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)] + [batch.column(k).to_numpy().view(np.uint64) for k in (7, 8)]
             if not batch.num_rows:
                 continue
             begin = np.concatenate([[0], np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1])
@@ -382,7 +448,8 @@ def near_duplicate_groups(spark: SparkSession, df: DataFrame, id_col: str, text_
     scratch = Scratch(spark)
     sets = scratch.keep(word_sets(df, id_col, text_col, p.min_words), "sets")
     common = common_words(sets, p.common_share)
-    found = scratch.keep(candidates(labels(sets, common, p), p), "found")
+    hot = hot_prefixes(sets, common, p)
+    found = scratch.keep(candidates(labels(sets, common, p, hot), p), "found")
     links = scratch.keep(verified(found.where("kind = 0"), sets, p.threshold), "links")
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
     roots = scratch.keep(connected_components(spark, edges, scratch, reduce_above=1_000_000), "roots")

@@ -91,7 +91,7 @@ def test_trie_in_chunks(chunk):
     """The pairs and the large leaves of a sorted partition do not depend on how it is cut into batches."""
     r = np.random.default_rng(4)
     n = 600
-    part = np.sort(r.integers(0, 4, n)).astype(np.int32)
+    part = np.sort(r.integers(0, 4, n)).astype(np.int64)
     label = np.array([int(a) << 48 | int(b) << 32 | int(c) << 16 | int(d) for a, b, c, d in zip(part, r.integers(0, 4, n), r.integers(0, 5, n), np.where(r.random(n) < 0.5, 0, r.integers(0, 9, n)))], np.uint64)
     key = np.arange(n, dtype=np.int64)
     order = np.lexsort((key, label, part))
@@ -131,3 +131,52 @@ def test_pairs_of_crowded_nodes(spark):
         p = ForestParameters(node_rows=1, common_share=0.2, block_rows=block_rows)
         got = {x.id: x.group_id for x in near_duplicate_groups(spark, df, "id", "text", p).collect()}
         assert set(got) <= set(truth) and sum(got.get(i) == g for i, g in truth.items()) >= 0.99 * len(truth)
+
+
+def edited(n_families, size, seed, common=31, rare=9, edits=4):
+    """Families of records of ``common`` frequent and ``rare`` rare words, each but the first with some rare words replaced."""
+    r = random.Random(seed)
+    frequent = [f"c{k}" for k in range(common)]
+    rows = []
+    for f in range(n_families):
+        base = [f"w{f}_{k}" for k in range(rare)]
+        for m in range(size):
+            words = base[:]
+            for k in r.sample(range(rare), edits if m else 0):
+                words[k] = f"e{f}_{m}_{k}"
+            rows.append((f * size + m, " ".join(frequent + words)))
+    return rows
+
+
+@pytest.mark.parametrize(("n_families", "size"), [(100, 18), (30, 90), (12, 270), (5, 900)])
+def test_recall_does_not_fall_with_the_size_of_families(spark, n_families, size):
+    """Each record is similar to the first of its family (0.82) and to no more; the share of them that are in its group."""
+    rows = edited(n_families, size, size)
+    p = ForestParameters(common_share=0.5)
+    got = {x.id: x.group_id for x in near_duplicate_groups(spark, spark.createDataFrame(rows, "id bigint, text string"), "id", "text", p).collect()}
+    assert all(g == i // size * size for i, g in got.items())
+    assert len(got) >= 0.95 * len(rows)
+
+
+def test_recall_with_inserted_words(spark):
+    """40 words and the same with 10 rare words inserted, a similarity of exactly 0.8."""
+    frequent = [f"c{k}" for k in range(38)]
+    rows = []
+    for f in range(300):
+        words = frequent + [f"w{f}_{k}" for k in range(2)]
+        rows += [(2 * f, " ".join(words)), (2 * f + 1, " ".join(words + [f"n{f}_{k}" for k in range(10)]))]
+    p = ForestParameters(common_share=0.5)
+    got = {x.id: x.group_id for x in near_duplicate_groups(spark, spark.createDataFrame(rows, "id bigint, text string"), "id", "text", p).collect()}
+    truth = brute(rows)
+    assert sum(i in got for i in truth) >= 0.95 * len(truth)
+
+
+def test_splitting_hot_prefixes_changes_nothing(spark):
+    """A template that a third of the records follow: its nodes are split over tasks at every level, with the same groups."""
+    rows = edited(1, 400, 8) + [(10_000 + i, t) for i, t in edited(200, 4, 9)]
+    df = spark.createDataFrame(rows, "id bigint, text string")
+    groups = [
+        {x.id: x.group_id for x in near_duplicate_groups(spark, df, "id", "text", ForestParameters(common_share=0.5, node_rows=8, hot_share=h)).collect()}
+        for h in (1.1, 0.02)
+    ]
+    assert len(groups[0]) >= 0.99 * len(rows) and groups[0] == groups[1]
