@@ -3,14 +3,13 @@
 Documents and items are cut into all windows of a passage's length in words. A window is embedded by the CGK random walk:
 at step j the current word is written out and the walk moves on to the next word or stays, as a random bit of (j, word)
 says; windows at a small edit distance come out at a small Hamming distance, equal windows come out equal. Bit sampling
-then hashes some of the written positions, with as many repetitions as the target recall needs at the allowed number of
-edits (one, and a recall of 1, if no edits are allowed). Windows that meet in a repetition are verified by their exact
-edit distance. Text is first brought into the consistent form of problem 8.
+then hashes some of the written positions. How many repetitions the target recall needs at the allowed number of edits is
+measured on edited copies of item windows (with no edits allowed one repetition has a recall of 1). Windows that meet in a
+repetition are verified by their exact edit distance. Text is first brought into the consistent form of problem 8.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,22 +28,51 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 class LeakParameters:
     window: int = 12
     max_edits: int = 0
-    target_recall: float = 0.99
+    target_recall: float = 0.95
     samples: int = 6  #: written positions that one repetition hashes
+    most_repetitions: int = 128
+    measured_windows: int = 2000  #: item windows whose edited copies tell how many repetitions are needed
     broadcast_windows: int = 200_000  #: item windows up to which they travel to the documents, about 20 MB
 
-    @property
-    def repetitions(self) -> int:
-        if not self.max_edits:
-            return 1
-        # a walk is off by up to about 2 e^2 of the 3 w written positions around e edits, with constant probability
-        same = (1 - min(0.9, 2 * self.max_edits**2 / (3 * self.window))) ** self.samples / 2
-        return math.ceil(math.log(1 - self.target_recall) / math.log(1 - same))
 
-
-def _sampled(p: LeakParameters) -> list[np.ndarray]:
+def _sampled(p: LeakParameters, repetitions: int) -> list[np.ndarray]:
     rng = np.random.default_rng(6)
-    return [np.sort(rng.choice(3 * p.window, p.samples, replace=False)) for _ in range(p.repetitions)]
+    return [np.sort(rng.choice(3 * p.window, p.samples, replace=False)) for _ in range(repetitions)]
+
+
+def edited(windows: np.ndarray, edits: int, seed: int = 8) -> np.ndarray:
+    """Copies of the rows of a word matrix at an edit distance of at most ``edits``: words exchanged, or taken out at one place
+    and put in at another, which counts twice."""
+    rng = np.random.default_rng(seed)
+    out = windows.copy()
+    n, w = out.shape
+    left = np.full(n, edits)
+    while (left > 0).any():
+        moved = (left >= 2) & (rng.random(n) < 0.5)
+        for i in np.flatnonzero(left > 0):
+            new = rng.integers(1, 2**63, dtype=np.uint64)
+            if moved[i]:
+                row = np.delete(out[i], rng.integers(w))
+                out[i] = np.insert(row, rng.integers(w), new)
+            else:
+                out[i, rng.integers(w)] = new
+        left -= np.where(moved, 2, 1)
+    return out
+
+
+def repetitions(windows: np.ndarray, p: LeakParameters) -> tuple[int, float]:
+    """The number of repetitions at which edited copies of the windows, rows of words, meet them as often as the target says,
+    and the share that then did. Raises an error if ``most_repetitions`` are not enough."""
+    if not p.max_edits or not len(windows):
+        return 1, 1.0
+    pick = windows[np.linspace(0, len(windows) - 1, min(len(windows), p.measured_windows)).astype(int)]
+    a, b = pick.reshape(-1), edited(pick, p.max_edits).reshape(-1)
+    at, met = np.arange(len(pick)) * p.window, np.zeros(len(pick), bool)
+    for r, s in enumerate(_sampled(p, p.most_repetitions)):
+        met |= window_keys(a, at, p, r, s) == window_keys(b, at, p, r, s)
+        if met.mean() >= p.target_recall:
+            return r + 1, float(met.mean())
+    raise ValueError(f"{p.most_repetitions} repetitions reach a recall of {met.mean():.2f} at {p.max_edits} edits; allow more, or hash fewer positions")
 
 
 def window_keys(flat: np.ndarray, at: np.ndarray, p: LeakParameters, repetition: int, sample: np.ndarray) -> np.ndarray:
@@ -100,9 +128,8 @@ def _windows(batch: pa.RecordBatch, p: LeakParameters) -> tuple[np.ndarray, np.n
     return flat, at, row[at]
 
 
-def _keyed(words: DataFrame, p: LeakParameters) -> DataFrame:
+def _keyed(words: DataFrame, p: LeakParameters, sampled: list[np.ndarray]) -> DataFrame:
     """(key, id, words) of every window and repetition."""
-    sampled = _sampled(p)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,10 +156,12 @@ def leaked_passages(
     """
     p = p or LeakParameters()
     scratch = Scratch(spark)
-    keyed = scratch.keep(_keyed(_words(items, item_id, item_text), p).distinct(), "items")
+    asked = scratch.keep(_words(items, item_id, item_text), "words")
+    some = scratch.keep(_keyed(asked, p, _sampled(p, 1)).select("words").distinct(), "windows").orderBy(F.xxhash64("words")).limit(p.measured_windows).toArrow()
+    sampled = _sampled(p, repetitions(some["words"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, p.window), p)[0] if p.max_edits else 1)
+    keyed = scratch.keep(_keyed(asked, p, sampled).distinct(), "items")
     n = keyed.count()
     docs = _words(documents, doc_id, doc_text)
-    sampled = _sampled(p)
     kinds = docs.schema["id"].dataType.simpleString(), keyed.schema["id"].dataType.simpleString()
     if n <= p.broadcast_windows:
         rows = keyed.toArrow()
@@ -175,7 +204,7 @@ def leaked_passages(
             keep = pa.array(np.flatnonzero(_near(a, b, p)))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], ["doc_id", "item_id"])
 
-    pairs = _keyed(docs, p).select("key", F.col("id").alias("doc_id"), F.col("words").alias("a")).join(
+    pairs = _keyed(docs, p, sampled).select("key", F.col("id").alias("doc_id"), F.col("words").alias("a")).join(
         keyed.select("key", F.col("id").alias("item_id"), F.col("words").alias("b")), "key"
     )
     return pairs.select("doc_id", "item_id", "a", "b").mapInArrow(verify, f"doc_id {kinds[0]}, item_id {kinds[1]}").distinct()

@@ -3,9 +3,10 @@
 Sizes are tokens of a public tokenizer. For the whole mixture of W tokens a source with the share s and T tokens needs
 each of its documents s W / T times: the whole part for all of them, and the fractional part as a probability. Pivotal
 rounding settles those: of two documents with fractional probabilities one gives token mass to the other, in a random
-direction that keeps both expectations, until the probability of one is 0 or 1. A task walks through its documents with
-one open document for each source; the open ones that are left are combined in a reduction tree, so no task and no
-driver sees a whole source, and the tokens of a source miss their target by less than one document.
+direction that keeps both expectations, until the probability of one is 0 or 1. A task settles its documents in rounds, in
+which all open documents of a source are paired at once; the one of each source that is left goes into a reduction tree
+over the tasks, so no task and no driver sees a whole source, and the tokens of a source miss their target by less than
+one document.
 """
 
 from __future__ import annotations
@@ -19,17 +20,21 @@ from pyspark.sql import functions as F
 
 from colonnade.plans.scratch import Scratch
 
-#: Public tokenizer file in the rank format, and the pattern of its first split; both are parameters of the operators.
+#: Public tokenizer file in the rank format, and the pattern of its first split; both are parameters of the operators. The
+#: driver reads the file and sends it to the tasks, so it need not be on the executors.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+MOST_BYTES = 50_000_000  #: size of a vocabulary file that is sent to the tasks
 FAN_IN = 64
 
 
-def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS, pattern: str | None = None) -> DataFrame:
+def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS, pattern: str = PATTERN) -> DataFrame:
     """(id, tokens): the tokens of each text; null and empty texts have none. Strings of special tokens count as text."""
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
+    with open(ranks, "rb") as f:
+        body = f.read(MOST_BYTES + 1)
+    if len(body) > MOST_BYTES:
+        raise ValueError(f"{ranks} is too large to be sent to the tasks")
+    sent = df.sparkSession.sparkContext.broadcast(body)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
@@ -38,8 +43,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS,
 
         cache = tiktoken.__dict__.setdefault("_loaded_ranks", {})  # outlives the task in a reused worker
         if (ranks, pattern) not in cache:
-            with open(ranks, "rb") as f:
-                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
             cache[ranks, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         enc = cache[ranks, pattern]
         for pdf in batches:
@@ -50,50 +54,41 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, ranks: str = RANKS,
     return rows.mapInPandas(work, f"id {rows.schema['id'].dataType.simpleString()}, tokens bigint")
 
 
-def _uniform(a: int, b: int, seed: int) -> float:
-    """A number in [0, 1) that depends on the two documents only, so that a repeated task makes the same choice."""
-    x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + seed * 0x165667B19E3779F9) & (2**64 - 1)
+def _uniform(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the two documents only, so that a repeated task makes the same choices."""
+    x = a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(seed * 0x165667B19E3779F9 % 2**64)
     for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = ((x ^ x >> shift) * by) & (2**64 - 1)
-    return ((x ^ x >> 31) >> 11) / 2**53
-
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(by)
+    return ((x ^ x >> np.uint64(31)) >> np.uint64(11)).astype(np.float64) / 2**53
 
-def _pivot(ids, tokens, probs, seed: int, open_: tuple | None = None) -> tuple[np.ndarray, tuple | None]:
-    """Rounds the documents of one source in turn. Returns the settled (position, 0 or 1) and the open (position, p).
 
-    ``open_`` is the open document before the first, (id, tokens, p); its position is -1.
-    """
-    settled: list[tuple[int, int]] = []
-    at, cur = -1, open_
-    for k, (i, t, p) in enumerate(zip(ids, tokens, probs)):
-        if p <= 0 or p >= 1:
-            settled.append((k, int(p >= 1)))
-            continue
-        if cur is None:
-            at, cur = k, (i, t, p)
-            continue
-        ci, ct, cp = cur
-        up = min((1 - cp) * ct, p * t)  # mass that can go to the open document
-        down = min(cp * ct, (1 - p) * t)
-        if _uniform(int(ci), int(i), seed) * (up + down) < down:
-            cp, p, full = cp + up / ct, p - up / t, (1 - cp) * ct <= p * t
-            done_cur, done_new = (1, None) if full else (None, 0)
-        else:
-            cp, p, full = cp - down / ct, p + down / t, cp * ct <= (1 - p) * t
-            done_cur, done_new = (0, None) if full else (None, 1)
-        if done_cur is not None:
-            settled.append((at, done_cur))
-            at, cur = k, (i, t, p)
-            if p <= 1e-12 or p >= 1 - 1e-12:
-                settled.append((k, int(p > 0.5)))
-                cur = None
-        else:
-            settled.append((k, done_new))
-            cur = (ci, ct, cp)
-            if cp <= 1e-12 or cp >= 1 - 1e-12:
-                settled.append((at, int(cp > 0.5)))
-                cur = None
-    return np.array(settled, np.int64).reshape(-1, 2), None if cur is None else (at, cur)
+def _pivot(ids: np.ndarray, tokens: np.ndarray, probs: np.ndarray, source: np.ndarray, seed: int) -> np.ndarray:
+    """Probabilities of which at most one for each source is neither 0 nor 1. In a round the open documents of a source
+    are paired in their order, each pair settles one of its two or both, and one without a partner waits."""
+    p = np.where(probs <= 1e-12, 0.0, np.where(probs >= 1 - 1e-12, 1.0, probs))
+    turn = 0
+    while True:
+        turn += 1
+        at = np.flatnonzero((p > 0) & (p < 1))
+        at = at[np.argsort(source[at], kind="stable")]
+        if not len(at):
+            return p
+        begin = np.concatenate([[0], np.flatnonzero(np.diff(source[at])) + 1])
+        size = np.diff(np.append(begin, len(at)))
+        place = np.arange(len(at)) - np.repeat(begin, size)
+        first = np.flatnonzero((place % 2 == 0) & (place + 1 < np.repeat(size, size)))
+        if not len(first):
+            return p
+        i, j = at[first], at[first + 1]
+        ti, tj, pi, pj = tokens[i], tokens[j], p[i], p[j]
+        up, down = np.minimum((1 - pi) * ti, pj * tj), np.minimum(pi * ti, (1 - pj) * tj)  # mass that can go to i, and to j
+        to_i = _uniform(ids[i], ids[j], seed * 64 + turn) * (up + down) < down
+        move = np.where(to_i, up, -down)
+        full = np.where(to_i, (1 - pi) * ti <= pj * tj, pi * ti <= (1 - pj) * tj)  # i is the one that is settled
+        p[i] = np.where(full, np.where(to_i, 1.0, 0.0), pi + move / ti)
+        p[j] = np.where(full, pj - move / tj, np.where(to_i, 0.0, 1.0))
+        for k in (i, j):
+            p[k] = np.where(p[k] <= 1e-12, 0.0, np.where(p[k] >= 1 - 1e-12, 1.0, p[k]))
 
 
 ROUNDED = "id bigint, source string, tokens bigint, p double"
@@ -103,27 +98,23 @@ def _round_partitions(rows: DataFrame, seed: int) -> DataFrame:
     """Each task rounds its rows source by source; p is 0 or 1 but for at most one row of each source."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[str, tuple] = {}
+        held = None  # the open document of each source
         for pdf in batches:
-            out = []
-            for source, g in pdf.groupby("source", sort=True):
-                ids, tokens, probs = g["id"].to_numpy(), g["tokens"].to_numpy(), g["p"].to_numpy()
-                settled, open_ = _pivot(ids, tokens, probs, seed, held.get(source))
-                for k, x in settled:
-                    i, t = (held[source][:2]) if k < 0 else (ids[k], tokens[k])
-                    out.append((int(i), source, int(t), float(x)))
-                held.pop(source, None)
-                if open_ is not None:
-                    held[source] = open_[1]
-            yield pd.DataFrame(out, columns=["id", "source", "tokens", "p"])
-        yield pd.DataFrame([(int(i), s, int(t), float(p)) for s, (i, t, p) in held.items()], columns=["id", "source", "tokens", "p"])
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            code = pd.factorize(pdf["source"])[0]
+            pdf["p"] = _pivot(pdf["id"].to_numpy(np.int64), pdf["tokens"].to_numpy(np.float64), pdf["p"].to_numpy(np.float64).copy(), code, seed)
+            open_ = (pdf["p"] > 0) & (pdf["p"] < 1)
+            held = pdf[open_]
+            yield pdf[~open_]
+        if held is not None:
+            yield held
 
     return rows.select("id", "source", "tokens", "p").mapInPandas(work, ROUNDED)
 
 
 def mixture(
     spark: SparkSession, documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    total_tokens: int | None = None, seed: int = 7, ranks: str = RANKS, pattern: str | None = None,
+    total_tokens: int | None = None, seed: int = 7, ranks: str = RANKS, pattern: str = PATTERN,
 ) -> tuple[DataFrame, DataFrame]:
     """The copies (id, source, tokens, copies) of each document of a listed source, and the report of the shares reached.
 
@@ -131,7 +122,9 @@ def mixture(
     surrounding blanks. The mixture has ``total_tokens``, or as many as the repeat limits allow; a larger number is lowered
     to that. A listed source without tokens reaches share 0 and the others keep their proportions. Documents of other
     sources, or without tokens, are not used; repeated ids are documents of their own. The report has, for each target,
-    source, target_share, max_repeats, documents, tokens (available), mixed_tokens, actual_share, most_repeats.
+    source, target_share, max_repeats, documents, tokens (available), planned_tokens, mixed_tokens, actual_share, most_repeats,
+    and in every row requested_tokens (null if none were), feasible_tokens, the most that the repeat limits allow, and
+    used_tokens, the smaller of the two; limiting is true for the sources whose limits set feasible_tokens.
     """
     scratch = Scratch(spark)
 
@@ -154,6 +147,8 @@ def mixture(
     total = min(whole, total_tokens) if total_tokens is not None else whole
     ratio = total / limit["s"] if limit["s"] else 0.0
     plan = plan.withColumn("times", F.when(F.col("part") > 0, F.least(F.col("part") * ratio / F.col("tokens"), F.col("most").cast("double"))).otherwise(0.0))
+    plan = plan.withColumn("limiting", F.col("part") * whole >= F.col("most") * F.col("tokens") * limit["s"] * (1 - 1e-12) if limit["s"] else F.lit(False))
+    plan = plan.withColumn("limiting", F.coalesce(F.col("limiting") & (F.col("part") > 0), F.lit(False)))
     plan = plan.withColumn("base", F.floor(F.col("times") + 1e-9)).withColumn("frac", F.greatest(F.lit(0.0), F.col("times") - F.col("base")))
     plan = plan.withColumn("frac", F.when(F.col("frac") < 1e-9, 0.0).otherwise(F.col("frac")))
     listed = plan.select("source", "base", F.col("frac").alias("p"))
@@ -178,7 +173,8 @@ def mixture(
     report = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "most_repeats"])
     sum_ = got.agg(F.sum("mixed_tokens").alias("all"))
     report = report.crossJoin(F.broadcast(sum_)).select(
-        "source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), "documents", "tokens", "mixed_tokens",
-        F.coalesce(F.col("mixed_tokens") / F.nullif("all", F.lit(0)), F.lit(0.0)).alias("actual_share"), "most_repeats",
+        "source", F.col("share").alias("target_share"), F.col("most").alias("max_repeats"), "documents", "tokens",
+        F.round(F.col("times") * F.col("tokens")).cast("bigint").alias("planned_tokens"), "mixed_tokens", F.coalesce(F.col("mixed_tokens") / F.nullif("all", F.lit(0)), F.lit(0.0)).alias("actual_share"), "most_repeats",
+        F.lit(total_tokens).cast("bigint").alias("requested_tokens"), F.lit(whole).cast("bigint").alias("feasible_tokens"), F.lit(total).cast("bigint").alias("used_tokens"), "limiting",
     )
     return copies, report

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from colonnade.llm.components import key_groups, linked_columns
 from colonnade.llm.forest import near_duplicate_groups
-from colonnade.llm.leakage import leaked_passages
+from colonnade.llm.leakage import LeakParameters, leaked_passages
 from colonnade.llm.mixture import mixture
 from colonnade.llm.prefix_join import similar_set_pairs
 from colonnade.llm.suffix_overlap import cross_split_pairs
@@ -61,6 +61,12 @@ def p6_found(spark: SparkSession, directory: str) -> DataFrame:
     return leaked_passages(spark, table(spark, directory, "documents"), "doc_id", "text", items, "item_id", "text")
 
 
+def p6_edited(spark: SparkSession, directory: str) -> DataFrame:
+    """Documents with 12 words that are within two edits of 12 words of an item."""
+    items = table(spark, directory, "eval_item")
+    return leaked_passages(spark, table(spark, directory, "documents"), "doc_id", "text", items, "item_id", "text", LeakParameters(max_edits=2))
+
+
 def p6_report(spark: SparkSession, directory: str) -> DataFrame:
     """For each item of the held-out material: in how many documents it leaked, none included."""
     items = table(spark, directory, "eval_item").select("item_id", "split", "source")
@@ -79,13 +85,24 @@ def p7_shares(spark: SparkSession, directory: str) -> DataFrame:
     return mixture(spark, table(spark, directory, "documents"), table(spark, directory, "mixture_target"))[1]
 
 
+def p7_checks(spark: SparkSession, directory: str) -> DataFrame:
+    """For each target: whether no document is used too often, and the tokens miss the plan by less than one document."""
+    copies, shares = mixture(spark, table(spark, directory, "documents"), table(spark, directory, "mixture_target"))
+    longest = copies.groupBy("source").agg(F.max("tokens").alias("longest"))
+    got = shares.join(longest, "source", "left")
+    return got.select(
+        "source", (F.col("most_repeats") <= F.col("max_repeats")).alias("within_repeats"),
+        (F.abs(F.col("mixed_tokens") - F.col("planned_tokens")) <= F.coalesce("longest", F.lit(0))).alias("near_plan"), (F.col("used_tokens") == F.col("feasible_tokens")).alias("as_much_as_can_be"),
+    )
+
+
 def p8_found(spark: SparkSession, directory: str) -> DataFrame:
-    pairs = look_alike_pairs(table(spark, directory, "documents"), "doc_id", "text")
+    pairs = look_alike_pairs(spark, table(spark, directory, "documents"), "doc_id", "text")
     return pairs.selectExpr("id_a as doc_id_a", "id_b as doc_id_b")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p5_found, p6_found, p6_report, p7_mixture, p7_shares, p8_found)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p3_report, p5_found, p6_found, p6_edited, p6_report, p7_mixture, p7_shares, p7_checks, p8_found)
 }
 
 
@@ -114,7 +131,13 @@ _P3 = " union ".join(
     "select a as query_id_a, b as query_id_b from pr join z x on x.id = a join z y on y.id = b where x.train <> y.train)"
     for f in P3_FIELDS
 )
-#: SQL that finds the same rows another way; look-alike text, leaked windows and mixtures have no form in SQL.
+_P3_FIELDS = " union all ".join(
+    f"select '{f}' as field, case when y.train then a else b end as eval_id, len(list_intersect(x.ws, y.ws)) / case when y.train then x.n else y.n end as coverage from (with {_pairs(f'select query_id as id, {_words(f)} as ws, lower(trim(split)) = ' + chr(39) + 'train' + chr(39) + ' as train from nl2sql_query where lower(trim(split)) in (' + chr(39) + 'train' + chr(39) + ', ' + chr(39) + 'dev' + chr(39) + ', ' + chr(39) + 'test' + chr(39) + ')', 8, 10, ', train')} "
+    "select a, b, x, y from pr join z x on x.id = a join z y on y.id = b where x.train <> y.train)"
+    for f in P3_FIELDS
+)
+#: SQL that finds the same rows another way. Look-alike text, leaked windows and the copies of a mixture have no form in SQL;
+#: of a mixture there is what has to hold for its shares.
 ORACLE: dict[str, str] = {
     "p1_found": f"""with recursive {_pairs(f'select record_id as id, {_words("generated_sql")} as ws from episodic_record', 8, 10)},
       s as (select a, b from pr union select b, a from pr), r(k, m) as (select a, a from s union select s.b, r.m from r join s on s.a = r.k)
@@ -122,6 +145,9 @@ ORACLE: dict[str, str] = {
     "p2_found": f"""with {_pairs("select signature_id as id, list_distinct(list_filter(list_transform(exact_values, lambda v: lower(regexp_replace(v, '^\\s+|\\s+$', '', 'g'))), lambda v: v <> '')) as ws, database_id, table_name, column_name from column_values_signature", 6, 5, ', database_id, table_name, column_name')}
       select a as signature_id_a, b as signature_id_b from pr join z x on x.id = a join z y on y.id = b where (x.database_id, x.table_name, x.column_name) <> (y.database_id, y.table_name, y.column_name)""",
     "p3_found": _P3,
+    "p3_report": f"""with f as ({_P3_FIELDS}), n as (select query_id, lower(trim(split)) as split, lower(trim(source)) as source from nl2sql_query)
+      select n.split, n.source, field, count(distinct eval_id) as records, count(*) as pairs, round(avg(coverage), 6) as mean_coverage from f join n on n.query_id = eval_id group by all""",
+    "p7_checks": "select distinct lower(trim(source)) as source, true as within_repeats, true as near_plan, true as as_much_as_can_be from mixture_target where source is not null",
     "p5_found": f"""with recursive e as (select distinct a, b from ({_ends('similar_column_pair', 'table_a', 'column_a', 'table_b', 'column_b')} union all {_ends('join_candidate', 'source_table', 'source_column', 'target_table', 'target_column')}) where a <> b),
       s as (select a, b from e union select b, a from e), r(k, m) as (select a, a from s union select s.b, r.m from r join s on s.a = r.k) select k as column_key, min(m) as group_key from r group by k""",
 }

@@ -1,29 +1,49 @@
 """Problem 3: records of evaluation splits that also appear, exactly or almost, in the training split.
 
-Texts are compared as word sets, so the text that goes into the suffix array is a record's distinct words from rare to
-frequent. Two records of similarity t or more share one of the first n - ceil(t n) + 1 words of either, and before the
-first word that they share there are only words that they do not share. So the suffixes that begin within that stretch
-are sorted in partitions by their first word; in a run of neighbours with a common prefix, each pair of suffixes from
-different splits is a candidate if the words before the two starts, and the parity bitmaps of the two word sets, leave
-room for the similarity (both tests are exact bounds). Every candidate is verified on its full word sets, and the covered
-share of a pair is taken from them too: over words in one order, the shared spans of two whole texts are their common words.
-
-The named method takes the texts as they stand. There a pair of 0.8 similarity need not share any long span (clauses
-change places, aliases change everywhere), which is why the words are brought into one order first.
+Texts are compared as word sets, so the text of a record that goes into the suffix array is its canonical one: the distinct
+words from rare to frequent. Two sets of similarity t differ in d words, at most (n + m) (1 - t) / (1 + t). In canonical
+texts these break the common words into at most d + 1 spans, so among the first (s - 1) (d + 1) + 1 common words there is
+a span of s words that both texts have without a break: every pair that is to be found shares a span of ``span`` words
+that begins early in both texts (``last_start``). The suffixes that begin there are partitioned and sorted by their first
+words; neighbours with a common prefix of ``span`` words or more form a run, and each pair of suffixes of a run from
+different splits is a candidate, if their span cannot be extended to the left (else an earlier suffix of both has shown
+it), and if the words before the span and the parity bitmaps of the two sets leave room for the similarity. These bounds
+are exact, so no pair is lost. Candidates are verified on their word sets. The shared spans of a verified pair, merged over
+the whole texts, are its common words, whose share of the evaluation text is the pair's coverage.
+
+The texts as they stand would not do: there a pair of 0.8 similarity need not share any long span, since clauses change
+places and aliases change everywhere.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.plans.scratch import Scratch
 
-TAIL = 6  #: words of a suffix that are sorted on
+
+def last_start(n: int | Column, threshold: float, span: int) -> Column:
+    """The last position of a canonical text of ``n`` words at which the first shared span can begin.
+
+    Before it, common words come in groups of at most s - 1, each ended by a word that only one text has. A text with x words
+    of its own, whose partner has y, so shows its first span at most x + (s - 1) (x + y) words from the start. Of all (x, y)
+    that the similarity allows, one with y = 0 or one with x = 0 puts it last.
+    """
+    return F.floor(n * max((1 - threshold) * span, (1 / threshold - 1) * (span - 1)) + 1e-9).cast("int")
+
+
+def check_span(span: int, threshold: float, min_words: int) -> None:
+    """Raises an error if two similar sets need not share a span of that many words."""
+    for d in range(1000):  # words that are not in both; from some number on the similarity asks for ever more common words
+        common = max(math.ceil(threshold * min_words - 1e-9), math.ceil(d * threshold / (1 - threshold) - 1e-9)) if threshold < 1 else min_words
+        if common <= (span - 1) * (d + 1):
+            raise ValueError(f"similar sets of {min_words} words and more need not share {span} words in a row")
 
 
 def field_sets(df: DataFrame, id_col: str, side_col: str, fields: list[str], min_words: int) -> DataFrame:
@@ -37,13 +57,13 @@ def field_sets(df: DataFrame, id_col: str, side_col: str, fields: list[str], min
     return rows.select("f.field", "id", "side", "f.words").where(F.size("words") >= min_words)
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of sorted suffixes with a common first word: (train, eval) of the pairs across splits that may be similar.
+def _spans(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBatch]:
+    """Runs of sorted suffixes with a common prefix: (train, eval) of the pairs across splits that may be similar.
 
     Holds one run of bounded length at a time; pairs go out in slices.
     """
     def pairs(run: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        key, side, pos, _, room, bits = run
+        key, side, pos, _, before, room, bits = run
         tr, ev = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(tr) or not len(ev):
             return
@@ -52,7 +72,8 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = ev[at : at + step]
             a, b = np.tile(tr, len(e)), np.repeat(e, len(tr))
             most = room[a] + room[b]  # thousandths of a word that may differ
-            fits = (pos[a] + pos[b]) * 1000 <= most
+            fits = (pos[a] + pos[b]) * 1000 <= reach * most
+            fits &= (before[a] != before[b]) | (before[a] == 0)
             fits &= np.bitwise_count((bits[a] ^ bits[b]).view(np.uint64)).astype(np.int64) * 1000 <= most
             a, b = a[fits], b[fits]
             if not len(a):
@@ -61,12 +82,10 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     rest: list[np.ndarray] | None = None
     for batch in batches:
-        tails = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-        cur = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), tails, batch.column(4).to_numpy(), batch.column(5).to_numpy()]
+        cur = [c.to_numpy() for c in batch.columns]
         if rest is not None:
             cur = [np.concatenate([a, b]) for a, b in zip(rest, cur)]
-        t = cur[3]
-        cut = np.flatnonzero(t[1:, 0] != t[:-1, 0]) + 1
+        cut = np.flatnonzero(cur[3][1:] != cur[3][:-1]) + 1
         begin = np.concatenate([[0], cut])
         for s, e in zip(begin[:-1], begin[1:]):
             if e - s > 1:
@@ -87,14 +106,17 @@ def cross_split_pairs(
     threshold: float = 0.8,
     min_words: int = 10,
     run_rows: int = 4000,
+    span: int = 2,
 ) -> DataFrame:
     """(field, train_id, eval_id, similarity, coverage) of all records of the two sides that agree in a field.
 
     coverage is the share of the evaluation text's distinct words that the training text has too, 1 for a copy. Split labels
     count without case and surrounding blanks; null or another label is on neither side. Null, empty and short texts
     agree with nothing. Equal word sets are one set per field and side until the end. Runs of the suffix array with more
-    than ``run_rows`` suffixes are cut into blocks that meet pairwise as rows of a join instead of in one task.
+    than ``run_rows`` suffixes are cut into blocks that meet pairwise as rows of a join instead of in one task. A greater
+    ``span`` makes longer suffix lists and fewer candidates; one that similar sets need not share is an error.
     """
+    check_span(span, threshold, min_words)
     scratch = Scratch(spark)
     label = F.lower(F.regexp_replace(F.col(split_col), r"(?U)^\s+|\s+$", ""))
     side = F.when(label == train, F.lit(0)).when(label.isin(*evaluation), F.lit(1))
@@ -109,23 +131,27 @@ def cross_split_pairs(
     # Of a set with n words and one with m, at most (n + m) (1 - t) / (1 + t) words are not in both.
     room = F.floor(F.size("text") * (1000 * (1 - threshold) / (1 + threshold)) + 1).cast("bigint").alias("room")
     bits = F.expr("aggregate(text, 0L, (b, w) -> b ^ shiftleft(1L, cast(w & 63 as int)))").alias("bits")
-    starts = (F.size("text") - F.ceil(F.size("text") * threshold - 1e-9) + 1).cast("int")
-    padded = F.concat(F.col("text"), F.array_repeat(F.lit(0).cast("bigint"), TAIL))
-    suffix = F.transform(F.sequence(F.lit(1), starts), lambda i: F.struct((i - 1).alias("pos"), F.slice(padded, i, TAIL).alias("tail")))
-    suffixes = ordered.select("key", "side", "field", room, bits, F.explode(suffix).alias("s")).select("key", "side", "field", "s.pos", "s.tail", "room", "bits")
-    suffixes = suffixes.withColumn("run", F.xxhash64("field", F.col("tail")[0]))
+    starts = F.least(last_start(F.size("text"), threshold, span), F.size("text") - span)
+    at = lambda i: F.struct(i.alias("pos"), F.xxhash64("field", F.slice("text", i + 1, span)).alias("run"), F.when(i > 0, F.get("text", i - 1)).otherwise(0).alias("before"))
+    suffixes = ordered.select("key", "side", room, bits, F.explode(F.transform(F.sequence(F.lit(0), starts), at)).alias("s"))
+    suffixes = suffixes.select("key", "side", "s.pos", "s.run", "s.before", "room", "bits")
     runs = suffixes.groupBy("run").agg(F.count("*").alias("n"), F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo = 0 and hi = 1")
     live = scratch.keep(suffixes.join(runs.select("run", "n"), "run"), "suffixes")
-    sorted_ = live.where(F.col("n") <= run_rows).repartition("run").sortWithinPartitions("run", "tail").select("key", "side", "pos", "tail", "room", "bits")
-    spans = sorted_.mapInArrow(_spans, "train bigint, eval bigint")
+    # Before the first span of s words both have, a word of one text alone, or the end, follows at most s - 1 common ones.
+    reach = 2 * span - 1
+    sorted_ = live.where(F.col("n") <= run_rows).repartition("run").sortWithinPartitions("run").select("key", "side", "pos", "run", "before", "room", "bits")
+    spans = sorted_.mapInArrow(lambda batches: _spans(batches, reach), "train bigint, eval bigint")
     large = live.where(F.col("n") > run_rows)
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / run_rows)).cast("int")
-    salt = large.withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("key"), "blocks"))
-    a = salt.where("side = 0").select("run", "mine", F.col("key").alias("train"), F.col("pos").alias("at_train"), F.col("room").alias("ra"), F.col("bits").alias("ba"))
-    b = salt.where("side = 1").select("run", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("mine"), F.col("key").alias("eval"), F.col("pos").alias("at_eval"), F.col("room").alias("rb"), F.col("bits").alias("bb"))
-    b = b.withColumn("mine", F.col("mine").cast("bigint"))
-    fits = (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) * 1000 <= F.col("ra") + F.col("rb")) & ((F.col("at_train") + F.col("at_eval")) * 1000 <= F.col("ra") + F.col("rb"))
-    spans = spans.union(a.join(b, ["run", "mine"]).where(fits).select("train", "eval"))
+    # both sides are cut, and a block of one meets each block of the other
+    salt = large.withColumn("blocks", F.ceil(F.col("n") / run_rows).cast("int")).withColumn("cut", F.ceil(F.sqrt("blocks")).cast("int"))
+    mine = F.pmod(F.xxhash64("key"), "cut").cast("int")
+    every = F.sequence(F.lit(0), F.col("cut") - 1)
+    a = salt.where("side = 0").select("run", mine.alias("i"), F.explode(every).alias("j"), F.col("key").alias("train"), F.col("pos").alias("at_train"), F.col("before").alias("pa"), F.col("room").alias("ra"), F.col("bits").alias("ba"))
+    b = salt.where("side = 1").select("run", F.explode(every).alias("i"), mine.alias("j"), F.col("key").alias("eval"), F.col("pos").alias("at_eval"), F.col("before").alias("pb"), F.col("room").alias("rb"), F.col("bits").alias("bb"))
+    most = F.col("ra") + F.col("rb")
+    fits = (F.bit_count(F.col("ba").bitwiseXOR(F.col("bb"))) * 1000 <= most) & ((F.col("at_train") + F.col("at_eval")) * 1000 <= reach * most)
+    fits = fits & ((F.col("pa") != F.col("pb")) | (F.col("pa") == 0))
+    spans = spans.union(a.join(b, ["run", "i", "j"]).where(fits).select("train", "eval"))
     merged = scratch.keep(spans.distinct(), "spans")
     body = ordered.select("key", "side", "text", "field")
     both = merged.join(body.where("side = 0").select(F.col("key").alias("train"), F.col("text").alias("ta")), "train").join(

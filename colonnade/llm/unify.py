@@ -5,8 +5,8 @@ Unicode character database by rule, give what each code point turns into; gather
 marks are put in order and composed for all rows at once, and no string function is called for a row.
 
 The form: full-width and half-width characters, composed and decomposed accents and joined letters are unified, blanks
-and hyphens become one kind, characters that take no room go, and in a word with letters of two of the Latin, Greek and
-Cyrillic scripts the letters of the lesser script are replaced by the look-alikes of the other. Case, accents, raised
+and hyphens become one kind, characters that take no room go, and in a word with letters of two of the Latin, Greek,
+Cyrillic and Armenian scripts the letters of the lesser script are replaced by the look-alikes of the other. Case, accents, raised
 and enclosed characters, fractions and everything else a reader can see stay, and so do words of a single script.
 """
 
@@ -18,27 +18,36 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colonnade.plans.scratch import Scratch
+
 # Letters that look alike, in the same order in each line; a blank where a script has none.
-LATIN_C = "ABCEHIJKMOPSTXYaceijopsxyhdqwl"
-CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӏ"
-LATIN_G = "ABEZHIKMNOPTXYovu"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΧΥονυ"
+LATIN_C = "ABCEHIJKMOPSTXYaceijopsxyhdqwlGrv"
+CYRILLIC = "АВСЕНІЈКМОРЅТХУасеіјорѕхуһԁԛԝӏԌгѵ"
+LATIN_G = "ABEZHIKMNOPTXYovuaikpy"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΧΥονυαικργ"
+LATIN_A = "LOSUfghjnoqu"
+ARMENIAN = "ԼՕՏՍքցհյոօզս"
 # Hyphens that look like the ASCII one, and format characters that are visible.
 HYPHENS = "‐‑﹣"
 VISIBLE_FORMAT = [*range(0x0600, 0x0606), 0x06DD, 0x070F, 0x0890, 0x0891, 0x08E2, 0x110BD, 0x110CD]
-NO_ROOM = [0x034F, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0)]
+NO_ROOM = [
+    0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, *range(0x180B, 0x1810), 0x2065, 0x3164, *range(0xFE00, 0xFE10), 0xFFA0, *range(0xFFF0, 0xFFF9),
+    *range(0xE0100, 0xE01F0),
+]
+BLANKS = [0x2800]  #: blanks that are not of the category of blanks
 CHUNK = 1_500_000  #: bytes of text worked on at once
 
-OTHER, LATIN, GREEK_S, CYRILLIC_S = 0, 1, 2, 3
+OTHER, LATIN, GREEK_S, CYRILLIC_S, ARMENIAN_S = 0, 1, 2, 3, 4
+SCRIPTS = {"LATIN": LATIN, "GREEK": GREEK_S, "CYRILLIC": CYRILLIC_S, "ARMENIAN": ARMENIAN_S}
 
 
 def _target(cp: int) -> list[int] | None:
     """What the code point turns into before composition; None if it stays."""
     ch, kind = chr(cp), unicodedata.category(chr(cp))
-    if kind == "Zs":
+    if kind == "Zs" or cp in BLANKS:
         return None if cp in (0x20, 0x1680) else [0x20]
     if ch in HYPHENS:
         return [0x2D]
@@ -85,17 +94,16 @@ def tables() -> dict[str, np.ndarray]:
             word[cp] = ch.isalnum() or ch == "_" or unicodedata.category(ch) in ("Mn", "Mc")
             if ch.isalpha():
                 name = unicodedata.name(ch, "").split(" ")[0]
-                script[cp] = {"LATIN": LATIN, "GREEK": GREEK_S, "CYRILLIC": CYRILLIC_S}.get(name, OTHER)
+                script[cp] = SCRIPTS.get(name, OTHER)
     pair = np.array(starts, np.uint64) << np.uint64(32) | np.array(seconds, np.uint64)
     order = np.argsort(pair)
-    like = np.zeros((4, 0x3000), np.uint32)  # [script to write in, letter]
-    for latin, other, which in ((LATIN_C, CYRILLIC, CYRILLIC_S), (LATIN_G, GREEK, GREEK_S)):
-        for a, b in zip(latin, other):
+    like = np.zeros((len(SCRIPTS) + 1, 0x3000), np.uint32)  # [script to write in, letter]
+    for latin, other, which in ((LATIN_C, CYRILLIC, CYRILLIC_S), (LATIN_G, GREEK, GREEK_S), (LATIN_A, ARMENIAN, ARMENIAN_S)):
+        for a, b in zip(latin, other, strict=True):
             like[which, ord(a)], like[LATIN, ord(b)] = ord(b), ord(a)
-    for a, b in ((GREEK_S, CYRILLIC_S), (CYRILLIC_S, GREEK_S)):  # by way of Latin
-        for cp in np.flatnonzero(like[LATIN]):
-            if script[cp] == a:
-                like[b, cp] = like[b, like[LATIN, cp]]
+    for cp in np.flatnonzero(like[LATIN]):  # between other scripts by way of Latin
+        for b in set(SCRIPTS.values()) - {LATIN, script[cp]}:
+            like[b, cp] = like[b, like[LATIN, cp]]
     return {
         "src": np.array(src, np.uint32), "off": np.array(off, np.int64), "flat": np.array(flat, np.uint32), "mark": np.array(marks, np.uint32),
         "class": np.array(classes, np.uint8), "pair": pair[order], "whole": np.array(whole, np.uint32)[order], "script": script, "word": word, "like": like,
@@ -146,13 +154,13 @@ def _one_script(cps: np.ndarray, row: np.ndarray, t: dict) -> np.ndarray:
     ids = np.cumsum(cut) - 1
     script = np.where(inside & word, t["script"][low], OTHER)
     n = ids[-1] + 1
-    count = np.stack([np.bincount(ids[script == s], minlength=n) for s in range(4)])
+    count = np.stack([np.bincount(ids[script == s], minlength=n) for s in range(len(SCRIPTS) + 1)])
     mixed = ((count[1:] > 0).sum(0) > 1)[ids] & (script > 0)
     if not mixed.any():
         return cps
     # how many letters each choice of script would leave without a look-alike, then how many it would change
     best, target = None, np.zeros(n, np.int64)
-    for s in (LATIN, GREEK_S, CYRILLIC_S):
+    for s in SCRIPTS.values():
         stuck = mixed & (script != s) & (t["like"][s, low] == 0)
         cost = np.bincount(ids[stuck], minlength=n) * 1_000_000
         cost = np.where(count[s] > 0, cost - count[s], 2**60)
@@ -277,15 +285,17 @@ def unify(df: DataFrame, text_col: str, out_col: str = "unified") -> DataFrame:
     return df.mapInArrow(work, StructType(fields))
 
 
-def look_alike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def look_alike_pairs(spark: SparkSession, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_a, id_b), id_a < id_b, of records whose texts are not empty, not equal, and equal in the consistent form.
 
-    Null and empty texts are in no pair. Texts and forms are compared by their MD5 hashes. Only different texts of one form
-    are paired, and the records are joined to them last, so copies of a text add no pair among themselves.
+    Null and empty texts are in no pair. Texts and forms are compared by their MD5 hashes, which are written once. Only
+    different texts of one form are paired, and the records are joined to them last, so copies of a text add no pair among
+    themselves.
     """
+    scratch = Scratch(spark)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text <> ''")
     rows = rows.select("id", F.unhex(F.md5("text")).alias("raw"), "text")
-    formed = unify(rows, "text", "text").select("id", "raw", F.unhex(F.md5("text")).alias("form"))
+    formed = scratch.keep(unify(rows, "text", "text").select("id", "raw", F.unhex(F.md5("text")).alias("form")), "formed")
     kinds = formed.groupBy("form", "raw").agg(F.count("*").alias("n"))
     several = kinds.groupBy("form").agg(F.count("*").alias("k")).where("k > 1").select("form")
     members = formed.join(several, "form")

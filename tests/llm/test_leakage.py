@@ -83,6 +83,26 @@ def test_equal_windows_have_equal_keys():
     p = LeakParameters(max_edits=1)
     flat = np.arange(1, 60, dtype=np.uint64)
     both = np.concatenate([flat, flat])
-    for r, s in enumerate(leakage._sampled(p)):
+    for r, s in enumerate(leakage._sampled(p, 11)):
         keys = leakage.window_keys(both, np.array([3, 62]), p, r, s)
         assert keys[0] == keys[1]
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_measured_repetitions(edits):
+    """The measured number of repetitions finds other edited windows as often as it says."""
+    p = LeakParameters(max_edits=edits)
+    words = np.random.default_rng(1).integers(1, 2**63, (2000, 12), dtype=np.uint64)
+    n, recall = leakage.repetitions(words[:1000], p)
+    a, b = words[1000:].reshape(-1), leakage.edited(words[1000:], edits, 77)
+    assert n <= p.most_repetitions and recall >= p.target_recall and (edit_distance(words[1000:], b) <= edits).all()
+    met = np.zeros(1000, bool)
+    for r, s in enumerate(leakage._sampled(p, n)):
+        met |= leakage.window_keys(a, np.arange(1000) * 12, p, r, s) == leakage.window_keys(b.reshape(-1), np.arange(1000) * 12, p, r, s)
+    assert met.mean() >= p.target_recall - 0.03
+
+
+def test_unreachable_recall():
+    words = np.random.default_rng(1).integers(1, 2**63, (200, 12), dtype=np.uint64)
+    with pytest.raises(ValueError):
+        leakage.repetitions(words, LeakParameters(max_edits=2, most_repetitions=2))

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
-from colonnade.llm.mixture import _pivot, mixture, token_counts
+from colonnade.llm.mixture import PATTERN, _pivot, mixture, token_counts
 
 DOCS = "doc_id bigint, text string, source string"
 TARGETS = "source string, target_share double, max_repeats int"
@@ -52,20 +53,31 @@ def test_tokens(spark):
 
 
 def test_pivot_keeps_mass():
-    r = random.Random(2)
-    ids, tokens, probs = list(range(500)), [r.randrange(1, 90) for _ in range(500)], [r.random() for _ in range(500)]
-    settled, open_ = _pivot(ids, tokens, probs, 3)
-    mass = sum(tokens[k] * x for k, x in settled) + (tokens[open_[0]] * open_[1][2] if open_ else 0)
-    assert len(settled) + bool(open_) == 500 and abs(mass - sum(t * p for t, p in zip(tokens, probs))) < 1e-6
+    r = np.random.default_rng(2)
+    ids, tokens, probs, source = np.arange(500), r.integers(1, 90, 500).astype(float), r.random(500), r.integers(0, 4, 500)
+    p = _pivot(ids, tokens, probs, source, 3)
+    for s in range(4):
+        of = source == s
+        assert ((p[of] > 0) & (p[of] < 1)).sum() <= 1 and abs((tokens * (p - probs))[of].sum()) < 1e-6
 
 
 def test_pivot_is_fair():
     """Over many seeds each document is chosen as often as its probability says."""
-    n = [0] * 6
-    for seed in range(4000):
-        settled, open_ = _pivot(range(6), [3, 1, 4, 1, 5, 9], [0.5, 0.25, 0.75, 0.5, 0.3, 0.7], seed)
-        for k, x in settled:
-            n[k] += x
-        if open_:
-            n[open_[0]] += open_[1][2]
-    assert all(abs(c / 4000 - p) < 0.04 for c, p in zip(n, [0.5, 0.25, 0.75, 0.5, 0.3, 0.7]))
+    probs = np.array([0.5, 0.25, 0.75, 0.5, 0.3, 0.7])
+    n = sum(_pivot(np.arange(6), np.array([3.0, 1, 4, 1, 5, 9]), probs, np.zeros(6, int), seed) for seed in range(4000))
+    assert np.abs(n / 4000 - probs).max() < 0.04
+
+
+def test_requested_and_used_tokens(spark):
+    docs = spark.createDataFrame(documents(), DOCS)
+    targets = spark.createDataFrame([("big", 0.5, 1), ("mid", 0.5, 1)], TARGETS)
+    for asked in (None, 100, 10**9):
+        r = {x.source: x for x in mixture(spark, docs, targets, total_tokens=asked)[1].collect()}
+        assert r["big"].requested_tokens == asked and r["big"].feasible_tokens == r["mid"].feasible_tokens > 1000
+        assert r["big"].used_tokens == min(asked or 10**9, r["big"].feasible_tokens)
+        assert sorted(x.limiting for x in r.values()) == [False, True]
+
+
+def test_same_pattern_as_the_vocabulary():
+    public = pytest.importorskip("public_tokenizers")
+    assert PATTERN == public.PATTERN

@@ -36,11 +36,11 @@ def table(n=40, seed=1):
     return rows
 
 
-@pytest.mark.parametrize("run_rows", [4000, 2])
-def test_against_brute_force(spark, run_rows):
+@pytest.mark.parametrize(("run_rows", "span"), [(4000, 2), (2, 2), (4000, 1), (4000, 3)])
+def test_against_brute_force(spark, run_rows, span):
     rows = table() + [(900, "train", " ".join(f"l{k}" for k in range(5000)), None), (901, "dev", " ".join(f"l{k}" for k in range(4900)), None)]
     df = spark.createDataFrame(rows, SHAPE).selectExpr("*", "1 as key", "2 as side", "3 as text", "4 as field")
-    got = cross_split_pairs(spark, df, "id", "split", ["q", "e"], run_rows=run_rows).collect()
+    got = cross_split_pairs(spark, df, "id", "split", ["q", "e"], run_rows=run_rows, span=span).collect()
     assert {(r.field, r.train_id, r.eval_id) for r in got} == brute(rows) and len(got) == len(brute(rows))
     assert all(0.8 <= r.similarity <= 1 and 0 < r.coverage <= 1 for r in got)
 
@@ -68,3 +68,8 @@ def test_coverage_of_whole_texts(spark, run_rows):
     got = cross_split_pairs(spark, spark.createDataFrame(rows, SHAPE), "id", "split", ["q"], run_rows=run_rows).collect()
     want = {(3 * i, 3 * i + 1): 1.0 for i in range(4)} | {(3 * i, 3 * i + 2): 1 - 1 / n for i, n in enumerate((10, 30, 60, 300))}
     assert {(r.train_id, r.eval_id): r.coverage for r in got} == pytest.approx(want)
+
+
+def test_spans_that_need_not_be_shared(spark):
+    with pytest.raises(ValueError):
+        cross_split_pairs(spark, spark.createDataFrame([], SHAPE), "id", "split", ["q"], span=4)

@@ -63,9 +63,9 @@ def test_marks_compose_as_the_standard_says(text):
 def test_pairs(spark):
     rows = [(1, "ａbc"), (2, "abc"), (3, "abc"), (4, "a​bc"), (5, ""), (6, None), (7, "​"), (8, "ABC"), (9, "⁠"), (2, "abc")]
     df = spark.createDataFrame(rows[:-1], "id bigint, text string").selectExpr("id", "text", "1 as raw", "2 as form")
-    got = [tuple(r) for r in u.look_alike_pairs(df, "id", "text").collect()]
+    got = [tuple(r) for r in u.look_alike_pairs(spark, df, "id", "text").collect()]
     assert sorted(got) == [(1, 2), (1, 3), (1, 4), (2, 4), (3, 4), (7, 9)]
-    assert u.look_alike_pairs(spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
+    assert u.look_alike_pairs(spark, spark.createDataFrame([], "id bigint, text string"), "id", "text").count() == 0
 
 
 def test_column_keeps_its_place(spark):
@@ -73,3 +73,9 @@ def test_column_keeps_its_place(spark):
     assert u.unify(df, "text").collect() == [(1, "ａ", "a")]
     assert u.unify(df, "text", "text").columns == ["id", "text", "unified"]
     assert np.array_equal(T["src"], np.sort(T["src"]))
+
+
+def test_further_look_alikes_and_fillers():
+    """Greek and Armenian letters in Latin words, fillers that take no room, and a blank that is no blank by category."""
+    pairs = {"d\u03b1ta": "data", "\u03c1age": "page", "w\u0585rd": "word", "\u0578ame": "name", "a\u115fb\u3164c\u17b4\uffa0": "abc", "a\u2800b": "a b", "\u03b1\u03b2\u03b3": "\u03b1\u03b2\u03b3"}
+    assert u.unify_array(pa.array(list(pairs))).to_pylist() == list(pairs.values())
