@@ -1,12 +1,12 @@
-"""Analysis of SQL text as Spark columns: skeletons, intents, complexity, rule checks and rewrites.
+"""SQL text as Spark columns: schema-free skeletons, masks, rule checks and rewrites.
 
-All of it is regular expressions over the text without its literals, evaluated in the JVM for any number of rows. The
-parser of the session is used where a real plan is needed (``plan_nodes``), which works on the driver for single texts.
+All of it is regular expressions, evaluated in the JVM for any number of rows. What needs the structure of a query is in
+``sqlparse``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that a skeleton keeps.
@@ -15,26 +15,14 @@ KEYWORDS = [
     "in", "inner", "intersect", "is", "join", "left", "like", "limit", "max", "min", "not", "null", "offset", "on", "or", "order", "outer", "over", "partition", "right", "select",
     "sum", "then", "union", "when", "where", "with",
 ]
-#: tag -> pattern over the text without literals, in lower case; a tag of ``intents`` is present if its pattern is found.
-INTENTS = {
-    "aggregate": r"\bgroup\s+by\b|\b(count|sum|avg|max|min)\s*\(",
-    "calc": r"[a-z0-9_)]\s*/\s*[a-z0-9_(]|\*\s*100",
-    "deduplication": r"\bdistinct\b",
-    "filter": r"\bhaving\b",
-    "join": r"\bjoin\b",
-    "limit": r"\blimit\b",
-    "sorting": r"\border\s+by\b",
-    "subquery": r"\(\s*select\b|\bexists\b",
-    "window": r"\bover\s*\(|\b(row_number|dense_rank|rank)\s*\(",
-}
-WEIGHTS = ((r"\bover\s*\(", 5), (r"\b(union|intersect|except)\b", 3), (r"\(\s*select\b", 3), (r"\bjoin\b", 1), (r"\bhaving\b", 1))
-#: Checks: name -> pattern over the whole text. MIN and MAX in the nested form are looked for in capitals, as they come.
+#: Checks: name -> pattern over the whole text. ``order_by_null`` is for capitals on one line only, and a sum or count inside
+#: what it matches clears the text.
 CHECKS = {
     "join": r"(?is)\bon\s+[\w.`\"]+\s*=\s*[\w.`\"]+\s+or\s+[\w.`\"]+\s*=|\bjoin\b[^()]*?\bon\s+[\w.`\"]+\s+in\s*\(",
     "order_by_limit": r"(?is)order\s+by\s+(min|max)\s*\([^)]*\)[^()]*\blimit\s+\d+",
     "select": r"(?is)\|\| ' ' \|\||select\s+[^()]*?\b\w+\.\*",
     "max_min": r"(?is)=\s*\(\s*select\s+(min|max)\s*\(|=\s*\(\s*select\b[^()]*\blimit\s+1\s*\)",
-    "order_by_null": r"(?is)order\s+by\s+[^()]*?(?<!desc )\blimit\s+\d+",
+    "order_by_null": r"ORDER BY [^\n]*?(?<!DESC )LIMIT +[0-9]+",
 }
 
 
@@ -57,96 +45,26 @@ def skeleton(c: Column, keep: list[str] = KEYWORDS) -> Column:
     return text
 
 
-def intents(c: Column) -> Column:
-    """The tags of a query, in order, joined by commas."""
-    text = without_literals(c)
-    return F.concat_ws(",", *[F.when(text.rlike(p), tag) for tag, p in sorted(INTENTS.items())])
-
-
-def complexity(c: Column) -> Column:
-    """Windows 5, common table expressions 3, set operations 3, other subqueries 3, joins 1, having 1; 100 for text that is no
-    query. Both kinds of inner SELECT weigh the same, so they are counted together."""
-    text = without_literals(c)
-    score = sum((F.regexp_count(text, F.lit(p)) * w for p, w in WEIGHTS), F.lit(0))
-    return F.when(text.rlike(r"^\s*\(*\s*(select|with)\b"), score).otherwise(100)
-
-
 def checks(c: Column) -> Column:
     """The names of the rule checks that a query fails, joined by commas."""
-    return F.concat_ws(",", *[F.when(c.rlike(p) & (~c.rlike(r"(?i)(sum|count)\(") if name == "order_by_null" else F.lit(True)), name) for name, p in CHECKS.items()])
+    sorted_ = F.regexp_extract_all(c, F.lit(CHECKS["order_by_null"]), F.lit(0))
+    failed = {name: c.rlike(p) for name, p in CHECKS.items()}
+    failed["order_by_null"] = (F.size(sorted_) > 0) & ~F.exists(sorted_, lambda m: F.contains(m, F.lit("SUM(")) | F.contains(m, F.lit("COUNT(")))
+    return F.concat_ws(",", *[F.when(x, name) for name, x in failed.items()])
 
 
 def quote_time(c: Column) -> Column:
-    """Integers of four digits or more compared with ``strftime(...)`` put in quotes."""
-    return F.regexp_replace(c, r"(strftime *\([^\(]*?\) *[>=<]+ *)(\d{4,})", "$1'$2'")
-
+    """Integers of four digits or more that are compared with a call of ``strftime`` put in quotes."""
+    call = r"\bstrftime\s*\((?:[^()]|\([^()]*\))*\)"
+    return F.regexp_replace(c, rf"({call}\s*(?:<>|!=|[<>=]=?)\s*)([0-9]{{4,}})\b", "$1'$2'")
 
-def tables_of(c: Column) -> Column:
-    """The names after FROM and JOIN, without quotes and repeats, in order."""
-    plain = F.regexp_replace(without_literals(c), "[`\"]", "")
-    return F.array_sort(F.array_distinct(F.regexp_extract_all(plain, F.lit(r"\b(?:from|join)\s+([a-z_][a-z0-9_]*)"), F.lit(1))))
 
-
-#: Further words that are no column where they stand alone.
-NO_COLUMNS = [
-    "any", "cube", "current_date", "current_time", "current_timestamp", "escape", "false", "fetch", "first", "following", "glob", "ilike", "interval", "last", "lateral", "natural", "next",
-    "nulls", "only", "preceding", "range", "recursive", "regexp", "rlike", "rollup", "row", "rows", "similar", "some", "true", "unbounded", "unknown", "using", "values", "window",
-]
+def split_joined_texts(c: Column) -> Column:
+    """Texts that a SELECT joins with a blank between made columns of their own."""
+    return F.when(c.rlike(r"(?is)\bselect\b.*\|\| ' ' \|\|.*\bfrom\b"), F.replace(c, F.lit("|| ' ' ||"), F.lit(", "))).otherwise(c)
 
 
-def columns_of(c: Column) -> Column:
-    """The columns of a query as ``table.column``, without quotes and repeats, in order.
-
-    Aliases are resolved over the whole text. A name without a table belongs to the only table, if there is but one, and else
-    is ``.column``, since without the schema its table is not known. Names given to results and to subqueries are no columns.
-    """
-    bare = F.regexp_replace(without_literals(c), r"(?s)```[a-z]*|--[^\n]*|/\*.*?\*/", " ")
-    plain = F.regexp_replace(bare, "[`\"]", "")
-    words = "|".join(KEYWORDS + NO_COLUMNS)
-    source = rf"\b(?:from|join)\s+([a-z_]\w*)(?:\s+(?:as\s+)?(?!(?:{words})\b)([a-z_]\w*))?"
-    qualified = r"\b[a-z_]\w*\.[a-z_]\w*"
-    named = r"\b([a-z_]\w*)(?:\s*\([^()]*\))?\s+as\s*(?:(?:not\s+)?materialized\s*)?\("
-    tables, aliases = F.regexp_extract_all(plain, F.lit(source), F.lit(1)), F.regexp_extract_all(plain, F.lit(source), F.lit(2))
-    stored = F.array_distinct(F.array_except(tables, F.regexp_extract_all(plain, F.lit(named), F.lit(1))))
-
-    def resolved(t: Column) -> Column:
-        owner, at = F.split_part(t, F.lit("."), F.lit(1)), F.array_position(aliases, F.split_part(t, F.lit("."), F.lit(1)))
-        owner = F.when(at > 0, F.get(tables, (at - 1).cast("int"))).otherwise(owner)
-        return F.concat(owner, F.lit("."), F.split_part(t, F.lit("."), F.lit(2)))
-
-    rest = plain
-    for p in (source, qualified, named, r"\bas\s+[a-z_]\w*"):
-        rest = F.regexp_replace(rest, p, " ; (" if p == named else " ; ")
-    loose = F.regexp_extract_all(rest, F.lit(r"\b[a-z_]\w*\b(?!\s*\()"), F.lit(0))
-    loose = F.array_except(loose, F.array(*[F.lit(w) for w in KEYWORDS + NO_COLUMNS]))
-    loose = F.array_except(loose, F.regexp_extract_all(plain, F.lit(r"\bas\s+([a-z_]\w*)"), F.lit(1)))
-    owner = F.when(F.size(stored) == 1, F.get(stored, F.lit(0))).otherwise("")
-    loose = F.transform(loose, lambda t: F.concat(owner, F.lit("."), t))
-    return F.array_sort(F.array_distinct(F.concat(F.transform(F.regexp_extract_all(plain, F.lit(qualified), F.lit(0)), resolved), loose)))
-
-
-def join_conditions(c: Column) -> Column:
-    """Equality conditions between two qualified columns, each with its smaller side first."""
-    plain = F.regexp_replace(without_literals(c), "[`\"]", "")
-    found = F.regexp_extract_all(plain, F.lit(r"\bon\s+\w+\.\w+\s*=\s*\w+\.\w+"), F.lit(0))
-
-    def canonical(t: Column) -> Column:
-        a, b = F.regexp_extract(t, r"on\s+(\w+\.\w+)", 1), F.regexp_extract(t, r"=\s*(\w+\.\w+)", 1)
-        return F.concat(F.least(a, b), F.lit(" = "), F.greatest(a, b))
-
-    return F.array_sort(F.array_distinct(F.transform(found, canonical)))
-
-
-def plan_nodes(spark: SparkSession, sql: str) -> list[str] | None:
-    """The node names of the unresolved plan of one query, or None if it does not parse; driver only."""
-    try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
-    except Exception:
-        return None
-    out, stack = [], [plan]
-    while stack:
-        node = stack.pop()
-        out.append(node.nodeName())
-        children = node.children()
-        stack += [children.apply(i) for i in range(children.size())]
-    return out
+def repair_like(c: Column) -> Column:
+    """LIKE patterns without a closing quote before the next clause, or in double quotes, brought into single quotes."""
+    single = F.regexp_replace(c, r"(?i)\blike\s+\"([^\"]*)\"", "LIKE '$1'")
+    return F.regexp_replace(single, r"(?i)\blike\s+'([^']*?)(\s+(?:and|or|order|group|limit)\b[^']*)$", "LIKE '$1'$2")

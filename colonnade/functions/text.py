@@ -38,9 +38,9 @@ def mask_values(c: Column) -> Column:
 
 
 def normalise_description(c: Column) -> Column:
-    """Line ends removed, blanks collapsed, leading formulas of a description removed."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(c, r"[\r\n]", ""), r" +", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(flat, r"(?i)^commonsense evidence:\s*", ""), r"(?i)^not useful\s*", ""))
+    """Line ends as blanks, blanks collapsed, the words that announce evidence left out wherever they stand."""
+    bare = F.replace(F.regexp_replace(c, r"[\r\n]", " "), F.lit("commonsense evidence:"), F.lit(""))
+    return F.trim(F.regexp_replace(bare, r" +", " "))
 
 
 def set_similarity(a: Column, b: Column) -> Column:
@@ -56,13 +56,21 @@ def keyword_similarity(a: Column, b: Column) -> Column:
     return 0.6 * set_similarity(a, b) + 0.4 * overlap
 
 
+def bag_tokens(c: Column) -> Column:
+    """The blank-separated tokens of a text, each with the number of its occurrence, so that the set of them is the bag of tokens."""
+    sorted_ = F.array_sort(F.filter(F.split(c, r"\s+"), lambda t: t != ""))
+    start = F.struct(F.lit(None).cast("string").alias("t"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def step(s: Column, t: Column) -> Column:
+        n = F.when(t == s["t"], s["n"] + 1).otherwise(0)
+        return F.struct(t.alias("t"), n.alias("n"), F.concat(s["out"], F.array(F.concat_ws(" ", t, n))).alias("out"))
+
+    return F.aggregate(sorted_, start, step, lambda s: s["out"])
+
+
 def bag_similarity(a: Column, b: Column) -> Column:
     """Similarity of two texts as bags of blank-separated tokens; an empty text agrees with nothing, two of blanks agree."""
-    x, y = (F.filter(F.split(c, r"\s+"), lambda t: t != "") for c in (a, b))
-    count = lambda arr, v: F.size(F.filter(arr, lambda t: t == v))
-    shared = F.aggregate(F.array_intersect(x, y), F.lit(0), lambda s, v: s + F.least(count(x, v), count(y, v)))
-    all_ = F.size(x) + F.size(y) - shared
-    return F.when((a == "") | (b == ""), 0.0).when(all_ == 0, 1.0).otherwise(shared / all_)
+    return F.when((a == "") | (b == ""), 0.0).otherwise(set_similarity(bag_tokens(a), bag_tokens(b)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -31,6 +31,15 @@ def type_family(simple: str) -> str:
     return "bytes" if simple == "binary" else "other"
 
 
+def stored_tables(spark: SparkSession, directory: str) -> dict[str, DataFrame]:
+    """The Parquet tables of a directory by name, in order; each is a file or a folder ``name.parquet``."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(directory)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = sorted(f.getPath().getName() for f in found)
+    return {n.removesuffix(".parquet"): spark.read.parquet(f"{directory}/{n}") for n in names if n.endswith(".parquet")}
+
+
 def columns_frame(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """(table_name, column_name, ordinal, data_type, family) of all columns."""
     rows = [

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, MapType, StringType
+
+from colonnade.plans.scratch import Scratch
 
 # Priorities of the sources of a field's value.
 PRIORITY = {"ddl": 4, "profiling": 4, "manual": 3, "historical": 2, "join_path": 2, "llm": 1}
@@ -21,6 +24,42 @@ def is_empty(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
+def empty_value(df: DataFrame, c: str) -> Column:
+    """Whether a column of any type holds nothing: null, NaN, a text of blanks, a list or map without elements."""
+    kind = df.schema[c].dataType
+    if isinstance(kind, StringType):
+        return is_empty(F.col(c))
+    if isinstance(kind, (DoubleType, FloatType)):
+        return F.col(c).isNull() | F.isnan(c)
+    if isinstance(kind, (ArrayType, MapType)):
+        return F.col(c).isNull() | (F.size(c) == 0)
+    return F.col(c).isNull()
+
+
+def dedup_sessions(existing: DataFrame, new: DataFrame, session: Column, key: list[Column], order: str) -> DataFrame:
+    """The rows of ``new`` that are stored when they come one by one in the order of ``order`` (unique): a row whose session or
+    whose key is stored already is left out. A null session equals no other.
+
+    In each round the rows that are first of both their session and their key are stored, and the rows that share one with
+    them fall out; the first of all rows always is, so the rounds end. Rounds end in a written table.
+    """
+    scratch = Scratch(new.sparkSession)
+    names = [f"_k{i}" for i in range(len(key))]
+    part = F.xxhash64(*names)
+    ids = new.withColumns(dict(zip(names, key))).select(F.col(order).alias("_o"), session.alias("_s"), *names)
+    known = existing.withColumns(dict(zip(names, key)))
+    open_ = ids.join(known.select(*names).distinct(), names, "left_anti").join(known.select(session.alias("_s")).where("_s is not null").distinct(), "_s", "left_anti")
+    open_ = scratch.keep(open_.select("_o", F.coalesce(F.col("_s"), F.concat(F.lit("\0"), F.col("_o").cast("string"))).alias("_s"), part.alias("_k")), "open")
+    kept = None
+    while not open_.isEmpty():
+        first_s, first_k = open_.groupBy("_s").agg(F.min("_o").alias("_os")), open_.groupBy("_k").agg(F.min("_o").alias("_ok"))
+        won = scratch.keep(open_.join(first_s, "_s").join(first_k, "_k").where("_o = _os and _o = _ok").select("_o", "_s", "_k"), "won")
+        kept = won if kept is None else kept.union(won)
+        rest = open_.join(won.select("_s"), "_s", "left_anti").join(won.select("_k"), "_k", "left_anti")
+        open_ = scratch.keep(rest.select("_o", "_s", "_k"), "open")
+    return new.limit(0) if kept is None else new.join(kept.select(F.col("_o").alias(order)), order, "left_semi")
+
+
 def dedup_records(existing: DataFrame, new: DataFrame, key: list[Column], order: str) -> DataFrame:
     """The rows of ``new`` to append: of equal keys the first by ``order``, unless an existing row has the key."""
     names = [f"_k{i}" for i in range(len(key))]
@@ -95,13 +134,27 @@ def newest_years(records: DataFrame, ts: str, years: int = 3) -> DataFrame:
 
 def last_share(rows: DataFrame, by: str, order: str, percent: int) -> DataFrame:
     """The last ``percent`` of each group's rows in the order of ``order``, one at least."""
-    n = F.count("*").over(Window.partitionBy(by))
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order)))
-    return rows.withColumns({"_n": n, "_r": rank}).where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100))).drop("_n", "_r")
+    counts = rows.groupBy(by).agg(F.count("*").alias("_n"))
+    counts = counts.withColumnRenamed(by, "_g")
+    got = ranked(rows, by, order, descending=True).join(counts, F.col(by).eqNullSafe(F.col("_g"))).drop("_g")
+    return got.where(F.col("_r") <= F.greatest(F.lit(1), F.floor(F.col("_n") * percent / 100))).drop("_n", "_r")
+
+
+def ranked(rows: DataFrame, by: str, order: str, descending: bool = False) -> DataFrame:
+    """``rows`` with ``_r``, the place of each in its group by ``order``, a number. Groups may be of any size: rows are ranked within
+    ranges of ``order``, and the ranges before it in the group are counted, so no task sorts a whole group."""
+    place = F.col(order).desc() if descending else F.col(order).asc()
+    bounds = rows.stat.approxQuantile(order, [i / 64 for i in range(1, 64)], 0.01)
+    step = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<double>")
+    parts = rows.withColumn("_p", F.size(F.filter(step, lambda b: b < F.col(order))))
+    inside = F.row_number().over(Window.partitionBy(by, "_p").orderBy(place))
+    counts = parts.groupBy(by, "_p").agg(F.count("*").alias("_c"))
+    along = Window.partitionBy(by).orderBy(F.desc("_p") if descending else F.asc("_p")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col(by).alias("_g"), F.col("_p").alias("_q"), F.coalesce(F.sum("_c").over(along), F.lit(0)).alias("_b"))
+    return parts.withColumn("_i", inside).join(before, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))).withColumn("_r", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b", "_g", "_q")
 
 
 def session_ids(rows: DataFrame, by: str, order: str, existing: DataFrame) -> DataFrame:
     """``rows`` with ``session``: counters of each group that go on after the largest of ``existing`` (by, last)."""
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    got = rows.withColumn("_r", rank).join(existing, by, "left")
+    got = ranked(rows, by, order).join(existing, by, "left")
     return got.withColumn("session", F.concat(F.col(by), F.lit("_"), F.lpad((F.coalesce("last", F.lit(0)) + F.col("_r")).cast("string"), 6, "0"))).drop("_r", "last")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-NUMBER = r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"
+NUMBER = r"^[0-9]+\.?[0-9]*$"  # no sign, and a digit first
 KEY = ["table_name", "column_name"]
 
 
@@ -54,7 +54,8 @@ def basic_profile(table: str, df: DataFrame, columns: list[str]) -> DataFrame:
     """total, non-null and null counts and extrema as text, from one aggregation over the table."""
     aggs = [F.count("*").alias("n")]
     for i, c in enumerate(columns):
-        aggs += [F.count(c).alias(f"c{i}"), F.min(c).cast("string").alias(f"l{i}"), F.max(c).cast("string").alias(f"h{i}")]
+        v = F.col(c) + 0.0 if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)  # one zero instead of two
+        aggs += [F.count(c).alias(f"c{i}"), F.min(v).cast("string").alias(f"l{i}"), F.max(v).cast("string").alias(f"h{i}")]
     each = [F.struct(F.lit(c).alias("column_name"), F.col(f"c{i}").alias("non_null"), F.col(f"l{i}").alias("low"), F.col(f"h{i}").alias("high")) for i, c in enumerate(columns)]
     wide = df.agg(*aggs).select("n", F.explode(F.array(*each)).alias("p"))
     return wide.select(

@@ -4,6 +4,7 @@
 values from the dictionary pages, and only column chunks without usable statistics or with pages outside the dictionary
 are read. ``load_findings`` checks recorded statistics of many columns and loads against a table of their values in long
 form: loads whose row groups hold nothing else are settled from footers and dictionaries, and the others are scanned.
+``write_clustered`` writes such values so that every row group holds one load.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,13 +26,26 @@ from colonnade.sources.footers import dictionary, open_file, statistics
 STORED = {"timestamp": pa.int64(), "date32[day]": pa.int32(), "time": pa.int64(), "string": pa.binary(), "large_string": pa.binary()}
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file) of the table's files, one task for every few of them."""
-    files = spark.read.parquet(path).inputFiles()
+    files = spark.read.parquet(path).inputFiles() if isinstance(path, str) else path
     parts = max(1, min(len(files), 10_000))
     return spark.createDataFrame([(f,) for f in files], "file string").repartition(parts)
 
 
+def _groups_of(files: DataFrame) -> DataFrame:
+    """(file, row_group) of all row groups, spread over tasks whatever files they are in."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri in batch["file"]:
+                with open_file(uri) as raw:
+                    n = pq.ParquetFile(raw).metadata.num_row_groups
+                yield pd.DataFrame({"file": uri, "row_group": np.arange(n, dtype=np.int32)})
+
+    return files.mapInPandas(work, "file string, row_group int").repartition(F.col("file"), F.col("row_group"))
+
+
 def _stored(values: pa.Array) -> pa.Array:
     """Values as the file stores them, so that scanned ones equal those of a dictionary."""
     kind = str(values.type)
@@ -56,11 +71,11 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for uri in batch["file"]:
+            for uri, mine in batch.groupby("file"):
                 with open_file(uri) as raw, open_file(uri) as again:
                     f = pq.ParquetFile(raw)
                     flat = [i for i in range(len(f.schema)) if f.schema.column(i).max_repetition_level == 0 and "." not in f.schema.column(i).path]
-                    for g in range(f.metadata.num_row_groups):
+                    for g in mine["row_group"].tolist():
                         group = f.metadata.row_group(g)
                         for i in flat:
                             chunk = group.column(i)
@@ -91,7 +106,7 @@ def profile_files(spark: SparkSession, path: str) -> DataFrame:
                             ).astype({"low": "float64", "high": "float64"})
 
     out = "column string, value string, rows bigint, nulls bigint, low double, high double, chunks bigint, scanned bigint"
-    got = _files(spark, path).mapInPandas(work, out)
+    got = _groups_of(_files(spark, path)).mapInPandas(work, out)
     clean = got.withColumn("low", F.nanvl("low", F.lit(None).cast("double"))).withColumn("high", F.nanvl("high", F.lit(None).cast("double")))
     # one row for each column and value first, so that no task gets all values of a column
     each = clean.groupBy("column", "value").agg(
@@ -110,32 +125,53 @@ class LoadValues(NamedTuple):
     settled: int  #: loads that no scan was needed for
 
 
-def _row_groups(spark: SparkSession, path: str, shares_up_to: int) -> DataFrame:
-    """What the footers tell of each row group of the values: its only load, if it has one, and whether that settles it."""
+def _row_groups(spark: SparkSession, path: str | list[str], shares_up_to: int) -> DataFrame:
+    """What the footers tell of each row group of the values: its only load, if it has one, and whether that settles it.
+
+    That no row is delivered twice is told by a dictionary of as many row numbers as rows; where the writer kept none, the
+    chunk of row numbers, and no other, is read for it.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for uri in batch["file"]:
-                with open_file(uri) as raw:
-                    meta = pq.ParquetFile(raw).metadata
-                    for g in range(meta.num_row_groups):
-                        group = meta.row_group(g)
+            for uri, mine in batch.groupby("file"):
+                with open_file(uri) as raw, open_file(uri) as again:
+                    f = pq.ParquetFile(again)
+                    for g in mine["row_group"].tolist():
+                        group = f.metadata.row_group(g)
                         at = {group.column(i).path_in_schema: group.column(i) for i in range(group.num_columns)}
                         (cn, c0, c1), (ln, l0, l1), (rn, r0, r1) = (statistics(at[k]) for k in ("column_id", "load_no", "row_no"))
                         nulls = statistics(at["value"])[0]
                         one = c0 is not None and c0 == c1 and l0 is not None and l0 == l1 and cn == 0 and ln == 0
-                        settles, distinct = False, 0
-                        if one and nulls is not None and rn == 0 and r0 is not None:
-                            rows_of, values = dictionary(raw, at["row_no"]), dictionary(raw, at["value"])
-                            if rows_of is not None and len(rows_of) == group.num_rows and values is not None and len(values) > shares_up_to:
-                                settles, distinct = True, len(values)
-                        out.append((uri, g, group.num_rows, one, settles, c0, c1, l0, r0, r1, nulls, distinct))
-            names = ["file", "row_group", "rows", "one", "settles", "c0", "c1", "load_no", "r0", "r1", "nulls", "distinct"]
-            yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in ("c0", "c1", "load_no", "r0", "r1", "nulls")})
+                        settles, distinct, read = False, 0, 0
+                        if one and nulls is not None and rn == 0 and r0 is not None and r1 - r0 + 1 >= group.num_rows:
+                            values = dictionary(raw, at["value"])
+                            if values is not None and len(values) > shares_up_to:
+                                numbers = dictionary(raw, at["row_no"])
+                                if numbers is None:
+                                    numbers, read = pc.unique(f.read_row_group(g, columns=["row_no"]).column(0)), 1
+                                settles, distinct = len(numbers) == group.num_rows, len(values)
+                        out.append((uri, g, group.num_rows, one, settles, c0, c1, l0, l1, r0, r1, nulls, distinct, read))
+            names = ["file", "row_group", "rows", "one", "settles", "c0", "c1", "load_no", "l1", "r0", "r1", "nulls", "distinct", "read"]
+            yield pd.DataFrame(out, columns=names).astype({k: "Int64" for k in ("c0", "c1", "load_no", "l1", "r0", "r1", "nulls")})
 
-    shape = "file string, row_group int, rows bigint, one boolean, settles boolean, c0 bigint, c1 bigint, load_no bigint, r0 bigint, r1 bigint, nulls bigint, distinct bigint"
-    return _files(spark, path).mapInPandas(work, shape)
+    shape = "file string, row_group int, rows bigint, one boolean, settles boolean, c0 bigint, c1 bigint, load_no bigint, l1 bigint, r0 bigint, r1 bigint, nulls bigint, distinct bigint, read int"
+    return _groups_of(_files(spark, path)).mapInPandas(work, shape)
+
+
+def _loads_of(groups: DataFrame) -> DataFrame:
+    """(column_id, load_no) of the loads that have rows in the row groups (file, row_group)."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri, mine in batch.groupby("file"):
+                with open_file(uri) as raw:
+                    f = pq.ParquetFile(raw)
+                    for g in mine["row_group"].tolist():
+                        yield f.read_row_group(g, columns=["column_id", "load_no"]).to_pandas().dropna().drop_duplicates().astype("int64")
+
+    return groups.mapInPandas(work, "column_id bigint, load_no bigint").distinct()
 
 
 def _dictionary_values(chunks: DataFrame) -> DataFrame:
@@ -153,7 +189,7 @@ def _dictionary_values(chunks: DataFrame) -> DataFrame:
     return chunks.select("file", "row_group", "c0", "load_no").mapInPandas(work, "column_id bigint, load_no bigint, value string").distinct()
 
 
-def load_values(spark: SparkSession, path: str, scratch: Scratch, shares_up_to: int = 12) -> LoadValues:
+def load_values(spark: SparkSession, path: str | list[str], scratch: Scratch, shares_up_to: int = 12) -> LoadValues:
     """Counts of each load of a table (column_id, load_no, row_no, value, ...), a row number delivered twice counted once.
 
     A load is settled without a scan if all its row groups hold only it, state their nulls, have disjoint row numbers each
@@ -162,15 +198,18 @@ def load_values(spark: SparkSession, path: str, scratch: Scratch, shares_up_to:
     row_no are no rows of a load.
     """
     groups = scratch.keep(_row_groups(spark, path, shares_up_to), "row_groups")
-    mixed = groups.where("not one").agg(F.min(F.coalesce("c0", F.lit(-(2**63)))).alias("lo"), F.max(F.coalesce("c1", F.lit(2**63 - 1))).alias("hi"), F.count("*").alias("n")).first()
     order = Window.partitionBy("c0", "load_no").orderBy("r0")
     alone = groups.where("one").withColumn("apart", F.coalesce(F.col("r0") > F.max("r1").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
     settled = alone.groupBy("c0", "load_no").agg(F.min(F.col("settles") & F.col("apart")).alias("ok"), F.sum("rows").alias("rows"), F.sum("nulls").alias("nulls")).where("ok")
-    if mixed["n"]:
-        settled = settled.where((F.col("c0") < mixed["lo"]) | (F.col("c0") > mixed["hi"]))
+    # a load is open if a row group of several holds some of it; only the two columns that name loads are read of those
+    several = _loads_of(groups.where("not one").select("file", "row_group")).withColumnRenamed("column_id", "c0")
+    settled = settled.join(several, ["c0", "load_no"], "left_anti")
     settled = scratch.keep(settled.select(F.col("c0").alias("column_id"), "load_no", "rows", "nulls"), "settled")
     n_settled = settled.count()
-    table = spark.read.parquet(path)
+    if path:
+        table = spark.read.parquet(*([path] if isinstance(path, str) else path))
+    else:
+        table = spark.createDataFrame([], "column_id bigint, load_no int, row_no int, value string")
     if n_settled:
         keys = settled.select(F.col("column_id").alias("c0"), "load_no")
         rest = [r[0] for r in groups.join(keys, ["c0", "load_no"], "left_anti").select("file").distinct().collect()]
@@ -203,7 +242,51 @@ def format_pattern(c: Column) -> Column:
     return F.when(c == "INT", r"\A-?[0-9]+\z").otherwise(F.concat(F.lit(r"\A"), F.array_join(each, ""), F.lit(r"\z")))
 
 
-def load_findings(spark: SparkSession, profile: DataFrame, values_path: str, null_shift: float = 0.25, value_shift: float = 0.45, shares_up_to: int = 12) -> DataFrame:
+def write_clustered(cells: DataFrame, path: str, most_rows: int = 1_000_000) -> list[str]:
+    """Writes values (column_id, load_no, row_no, value), a row of a load each, so that a row group holds rows of one load only.
+
+    Returns the files. A load above ``most_rows`` has several row groups, with rising row numbers. Rows delivered twice are
+    written once: the smaller value, and a value before null. Each try of a task writes files of its own, and only those of
+    the tries that ended are returned, so a lost executor leaves nothing behind that counts.
+    """
+    keys = ["column_id", "load_no", "row_no"]
+    rows = cells.select(F.col("column_id").cast("bigint"), F.col("load_no").cast("int"), F.col("row_no").cast("int"), "value").where("column_id is not null and load_no is not null and row_no is not null")
+    once = rows.groupBy(*keys).agg(F.min("value").alias("value"))
+    sorted_ = once.repartitionByRange("column_id", "load_no").sortWithinPartitions(*keys)
+    shape = pa.schema([("column_id", pa.int64()), ("load_no", pa.int32()), ("row_no", pa.int32()), ("value", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        uri, writer, held, n = f"{path.rstrip('/')}/{uuid.uuid4().hex}.parquet", None, [], 0
+        system, name = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            c, ln = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(c) != 0) | (np.diff(ln) != 0)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts[:-1], cuts[1:]):
+                if s == e:
+                    continue
+                if writer is None:
+                    system.create_dir(name.rsplit("/", 1)[0], recursive=True)
+                    writer = pq.ParquetWriter(system.open_output_stream(name), shape, compression="zstd")
+                part = pa.Table.from_batches([batch.slice(s, e - s)]).cast(shape)
+                if held and (held[-1]["column_id"][-1], held[-1]["load_no"][-1]) != (part["column_id"][0], part["load_no"][0]) or n + len(part) > most_rows:
+                    if held:
+                        writer.write_table(pa.concat_tables(held), row_group_size=n)
+                    held, n = [], 0
+                held.append(part)
+                n += len(part)
+        if writer is not None:
+            writer.write_table(pa.concat_tables(held), row_group_size=n)
+            writer.close()
+            yield pa.RecordBatch.from_arrays([pa.array([uri])], ["file"])
+
+    return [r[0] for r in sorted_.mapInArrow(work, "file string").collect()]
+
+
+def load_findings(spark: SparkSession, profile: DataFrame, values_path: str | list[str], null_shift: float = 0.25, value_shift: float = 0.45, shares_up_to: int = 12) -> DataFrame:
     """(column_id, load_no, finding) for each load of ``profile`` that its values contradict; each finding once.
 
     profile has (column_id, load_no, data_format, min_value, max_value, value_statistics), a row for each load; a load

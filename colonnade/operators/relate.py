@@ -45,13 +45,16 @@ def skip_reason(name_a: Column, name_b: Column, distinct_a: Column, distinct_b:
     )
 
 
-def similarity_reason(name_a: Column, name_b: Column, distinct_a: Column, distinct_b: Column, same_semantic: Column) -> Column:
-    """Why two columns that are no join look alike; ``same_semantic`` is their common semantic type or null."""
+def similarity_reason(name_a: Column, name_b: Column, distinct_a: Column, distinct_b: Column, same_semantic: Column, same_type: Column | None = None) -> Column:
+    """Why two columns that are no join look alike; ``same_semantic`` is their common semantic type or null, ``same_type`` their
+    common data type."""
+    flags = F.lower(same_type) == "boolean" if same_type is not None else F.lit(False)
     return (
         F.when(distinct_a <= 2, "boolean_or_binary:a")
         .when(distinct_b <= 2, "boolean_or_binary:b")
         .when(distinct_a <= 5, F.concat(F.lit("low_cardinality:"), distinct_a, F.lit("_values")))
         .when(distinct_b <= 5, F.concat(F.lit("low_cardinality:"), distinct_b, F.lit("_values")))
+        .when(flags, "same_boolean_flag")
         .when(same_semantic.isNotNull(), F.concat(F.lit("same_semantic_type:"), same_semantic))
         .when(has_any(name_a, TYPE_WORDS) | has_any(name_b, TYPE_WORDS), "type_attribute_not_join_key")
         .when(starts_with(name_a, [*FLAG_STARTS, "desc"]) | starts_with(name_b, [*FLAG_STARTS, "desc"]), "attribute_naming_pattern")
@@ -59,6 +62,34 @@ def similarity_reason(name_a: Column, name_b: Column, distinct_a: Column, distin
     )
 
 
+def shared_features(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """A map of what the shapes of two columns have in common: lengths that are equal or at most 2 apart (0 counts as none), and
+    equal prefix, suffix, data type and semantic type. ``a`` and ``b`` have min_length, max_length, fixed_prefix,
+    fixed_suffix, data_type and semantic_type."""
+    pairs = []
+    for c in ("min_length", "max_length"):
+        both = (a[c] > 0) & (b[c] > 0)
+        pairs.append(F.when(both & (a[c] == b[c]), F.struct(F.lit(f"same_{c}").alias("k"), a[c].cast("string").alias("v"))))
+        near = F.concat_ws(" vs ", a[c].cast("string"), b[c].cast("string"))
+        pairs.append(F.when(both & (a[c] != b[c]) & (F.abs(a[c] - b[c]) <= 2), F.struct(F.lit(f"similar_{c}").alias("k"), near.alias("v"))))
+    for c, name in (("fixed_prefix", "shared_prefix"), ("fixed_suffix", "shared_suffix"), ("data_type", "same_data_type"), ("semantic_type", "same_semantic_type")):
+        pairs.append(F.when((a[c] == b[c]) & (a[c] != ""), F.struct(F.lit(name).alias("k"), a[c].alias("v"))))
+    return F.map_from_entries(F.array_compact(F.array(*pairs)))
+
+
+def completeness(left: DataFrame, left_col: str, right: DataFrame, right_col: str, samples: int = 20) -> DataFrame:
+    """One row: the left column's distinct values, those that the right one lacks, their share, the first of them, the nulls of
+    the right column, and the risk: none for a share of 0, low up to 0.05, medium up to 0.2, else high."""
+    a = left.where(F.col(left_col).isNotNull()).select(F.col(left_col).alias("value")).distinct()
+    b = right.where(F.col(right_col).isNotNull()).select(F.col(right_col).alias("value")).distinct().withColumn("hit", F.lit(1))
+    n = a.join(b, "value", "left").agg(F.count("*").alias("left_values"), F.count(F.when(F.col("hit").isNull(), 1)).alias("missing_values"))
+    first = missing_values(left, left_col, right, right_col).orderBy("value").limit(samples).agg(F.array_sort(F.collect_list(F.col("value").cast("string"))).alias("samples"))
+    nulls = right.agg(F.count(F.when(F.col(right_col).isNull(), 1)).alias("right_nulls"))
+    share = F.when(F.col("left_values") > 0, F.col("missing_values") / F.col("left_values")).otherwise(0.0)
+    risk = F.when(share == 0, "none").when(share <= 0.05, "low").when(share <= 0.2, "medium").otherwise("high")
+    return n.crossJoin(first).crossJoin(nulls).select("left_values", "missing_values", F.round(share, 6).alias("missing_share"), "samples", "right_nulls", risk.alias("risk"))
+
+
 def names_similar(name_a: Column, name_b: Column) -> Column:
     """Both id-like or both code-like; name-like columns never are."""
     ids, codes = ["id", "identifier", "key"], ["code", "cd"]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import text as T
 from colonnade.operators import graph, memory
-from colonnade.plans.registry import query
+from colonnade.plans.registry import mean, mean_sql, query
 from colonnade.sources.tables import table
 
 NORM_Q = "regexp_replace(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))), '[[:punct:]\\s]+$', '')"
@@ -74,20 +74,20 @@ def column_components(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(f"""with recursive e as (select distinct a, b from {PAIR_SQL} where a <> b), s as (select a, b from e union select b, a from e),
   r(k, m) as (select a, a from s union select s.b, r.m from r join s on s.a = r.k), g as (select k, min(m) as group_key from r group by k)
-  select group_key, count(*) as pairs, round(min(score), 6) as low, round(max(score), 6) as high, round(avg(score), 6) as mean from {PAIR_SQL} p join g on g.k = p.a where p.a <> p.b group by all""")
+  select group_key, count(*) as pairs, round(min(score), 6) as low, round(max(score), 6) as high, {mean_sql("score")} as mean from {PAIR_SQL} p join g on g.k = p.a where p.a <> p.b group by all""")
 def cluster_scores(spark: SparkSession, directory: str) -> DataFrame:
     """Scores of the stored pairs inside each group of linked columns."""
     pairs = _pairs(spark, directory)
     groups = graph.column_groups(spark, pairs.select("a", "b"))
     inside = pairs.where("a <> b").join(groups.withColumnRenamed("key", "a"), "a")
-    return inside.groupBy("group_key").agg(F.count("*").alias("pairs"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"), F.round(F.avg("score"), 6).alias("mean"))
+    return inside.groupBy("group_key").agg(F.count("*").alias("pairs"), F.round(F.min("score"), 6).alias("low"), F.round(F.max("score"), 6).alias("high"), mean("score").alias("mean"))
 
 
-@query("select round(min(x), 6) as low, round(max(x), 6) as high, round(avg(x), 6) as mean, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.75), 6) as p75, round(quantile_cont(x, 0.9), 6) as p90, count(*) filter (x >= 0.9) as above from (select similarity_score as x from similar_column_pair)")
+@query(f"select round(min(x), 6) as low, round(max(x), 6) as high, {mean_sql('x')} as mean, round(quantile_cont(x, 0.5), 6) as median, round(quantile_cont(x, 0.75), 6) as p75, round(quantile_cont(x, 0.9), 6) as p90, count(*) filter (x >= 0.9) as above from (select similarity_score as x from similar_column_pair)")
 def score_statistics(spark: SparkSession, directory: str) -> DataFrame:
     x = F.col("similarity_score")
     q = F.percentile(x, F.array(F.lit(0.5), F.lit(0.75), F.lit(0.9)))
-    got = table(spark, directory, "similar_column_pair").agg(F.min(x).alias("low"), F.max(x).alias("high"), F.avg(x).alias("mean"), q.alias("q"), F.count(F.when(x >= 0.9, 1)).alias("above"))
+    got = table(spark, directory, "similar_column_pair").agg(F.min(x).alias("low"), F.max(x).alias("high"), mean("similarity_score").alias("mean"), q.alias("q"), F.count(F.when(x >= 0.9, 1)).alias("above"))
     return got.select(*[F.round(c, 6).alias(c) for c in ("low", "high", "mean")], *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("median", "p75", "p90"))], "above")
 
 
@@ -106,9 +106,11 @@ def correct_complement(spark: SparkSession, directory: str) -> DataFrame:
 def multiset_jaccard(spark: SparkSession, directory: str) -> DataFrame:
     """Every wrong with every right record of one question, and how similar their SQL is."""
     k = _keys(table(spark, directory, "episodic_record").where("database_id is not null and user_query is not null and generated_sql is not null"))
-    wrong = k.where("not label").select("db", "q", F.col("record_id").alias("wrong"), F.col("s").alias("ws"))
-    right = k.where("label").select("db", "q", F.col("record_id").alias("correct"), F.col("s").alias("cs"))
-    return wrong.join(right, ["db", "q"]).select("wrong", "correct", F.round(T.bag_similarity(F.col("ws"), F.col("cs")), 6).alias("similarity"))
+    k = k.where("label is not null").select("db", "q", "record_id", "label", T.bag_tokens(F.col("s")).alias("bag"))  # once for each record
+    wrong = k.where("not label").select("db", "q", F.col("record_id").alias("wrong"), F.col("bag").alias("x"))
+    right = k.where("label").select("db", "q", F.col("record_id").alias("correct"), F.col("bag").alias("y"))
+    shared = F.size(F.array_intersect("x", "y"))
+    return wrong.join(right, ["db", "q"]).select("wrong", "correct", F.round(shared / (F.size("x") + F.size("y") - shared), 6).alias("similarity"))
 
 
 @query("""select coalesce(n.query_id, o.query_id) as query_id, coalesce(n.question, o.question) as question, coalesce(n.evidence, o.evidence) as evidence from

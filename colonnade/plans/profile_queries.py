@@ -10,18 +10,27 @@ from colonnade.plans.registry import query
 from colonnade.sources.tables import table
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events"]
-#: Integer and text columns, whose values have one text form in every engine.
-COLUMNS = {
-    "region": ["r_regionkey", "r_name"],
-    "nation": ["n_nationkey", "n_name", "n_regionkey"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
-    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
-    "events": ["event_id", "user_id", "event_type"],
-}
-NUMBERS = {"r_regionkey", "n_nationkey", "n_regionkey", "c_custkey", "c_nationkey", "s_suppkey", "s_nationkey", "p_partkey", "p_size", "o_orderkey", "o_custkey", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "event_id", "user_id"}
+#: All columns of the tables with their type families.
+FAMILIES = {
+    "region": {"r_regionkey": "number", "r_name": "text"},
+    "nation": {"n_nationkey": "number", "n_name": "text", "n_regionkey": "number"},
+    "customer": {"c_custkey": "number", "c_name": "text", "c_nationkey": "number", "c_acctbal": "number", "c_mktsegment": "text"},
+    "supplier": {"s_suppkey": "number", "s_name": "text", "s_nationkey": "number", "s_acctbal": "number"},
+    "part": {"p_partkey": "number", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "number", "p_retailprice": "number"},
+    "orders": {"o_orderkey": "number", "o_custkey": "number", "o_orderstatus": "text", "o_totalprice": "number", "o_orderdate": "time", "o_orderpriority": "text"},
+    "lineitem": {
+        "l_orderkey": "number", "l_partkey": "number", "l_suppkey": "number", "l_linenumber": "number", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number",
+        "l_tax": "number", "l_returnflag": "text", "l_linestatus": "text", "l_shipdate": "time",
+    },
+    "events": {"event_id": "number", "ts": "time", "user_id": "number", "event_type": "text", "value": "number", "props": "text"},
+}
+DOUBLES = {"c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "value"}
+COLUMNS = {t: list(cs) for t, cs in FAMILIES.items()}
+FAMILY_SQL = "case " + " ".join(f"when column_name in ({', '.join(repr(c) for cs in FAMILIES.values() for c, f in cs.items() if f == kind)}) then '{kind}'" for kind in ("number", "time")) + " else 'text' end"
+
+
+def _end(f: str, c: str) -> str:
+    return f"({f}({c}) + 0.0)::varchar" if c in DOUBLES else f"{f}({c})::varchar"
 
 
 def load(spark: SparkSession, directory: str, names=TABLES) -> dict[str, DataFrame]:
@@ -39,7 +48,7 @@ def cells_sql(columns=None) -> str:
     return "(" + " union all ".join(parts) + ")"
 
 
-TEXT_COLUMNS = {t: k for t, cs in COLUMNS.items() if (k := [c for c in cs if c not in NUMBERS])}
+TEXT_COLUMNS = {t: k for t, cs in FAMILIES.items() if (k := [c for c, f in cs.items() if f == "text"])}
 CELLS, TEXTS = cells_sql(), cells_sql(TEXT_COLUMNS)
 
 
@@ -68,7 +77,7 @@ def column_stats(spark: SparkSession, directory: str) -> DataFrame:
 
 @query(
     " union all ".join(
-        f"select '{t}' as table_name, '{c}' as column_name, count(*) as total_count, count({c}) as non_null_count, count(*) - count({c}) as null_count, min({c})::varchar as min_value, max({c})::varchar as max_value from {t}"
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as total_count, count({c}) as non_null_count, count(*) - count({c}) as null_count, {_end('min', c)} as min_value, {_end('max', c)} as max_value from {t}"
         for t, cs in COLUMNS.items()
         for c in cs
     )
@@ -105,7 +114,7 @@ def column_fixity(spark: SparkSession, directory: str) -> DataFrame:
 @query(f"""with s as (select table_name, column_name, count(*) as n, count(distinct value) as d from {CELLS} group by all)
   select table_name, column_name, case
     when n = 0 then 'Unknown'
-    when column_name in ({", ".join(f"'{c}'" for c in sorted(NUMBERS))}) then case when d <= 20 then 'Categorical' when d / n > 0.95 then 'Identifier' else 'Numerical' end
+    when {FAMILY_SQL} = 'time' then 'Datetime' when {FAMILY_SQL} = 'number' then case when d <= 20 then 'Categorical' when d / n > 0.95 then 'Identifier' else 'Numerical' end
     when d <= 100 and d / n < 0.6 then 'Categorical' when d / n > 0.95 then 'Identifier' else 'Free_Text' end as semantic_type from s""")
 def column_semantic_type(spark: SparkSession, directory: str) -> DataFrame:
     tables = load(spark, directory)
@@ -167,7 +176,7 @@ def column_usefulness(spark: SparkSession, directory: str) -> DataFrame:
     "select table_name, column_name, 'Column ' || column_name || ' of ' || table_name || ' has ' || n || ' rows and ' || d || ' distinct values.' "
     "|| case when n > k then ' ' || (n - k) || ' are null.' else '' end || case when lo is not null then ' It ranges from ' || lo || ' to ' || hi || '.' else '' end as description from ("
     + " union all ".join(
-        f"select '{t}' as table_name, '{c}' as column_name, count(*) as n, count({c}) as k, count(distinct {c}) as d, min({c})::varchar as lo, max({c})::varchar as hi from {t}"
+        f"select '{t}' as table_name, '{c}' as column_name, count(*) as n, count({c}) as k, count(distinct {c}) as d, {_end('min', c)} as lo, {_end('max', c)} as hi from {t}"
         for t, cs in COLUMNS.items()
         for c in cs
     )
@@ -175,7 +184,7 @@ def column_usefulness(spark: SparkSession, directory: str) -> DataFrame:
 )
 def column_description(spark: SparkSession, directory: str) -> DataFrame:
     tables = load(spark, directory)
-    stats = profile.column_stats(profile.cells(tables, COLUMNS)).select("table_name", "column_name", "distinct_count")
+    stats = profile.column_stats(cells(spark, directory)).select("table_name", "column_name", "distinct_count")
     basic = None
     for t, df in tables.items():
         one = profile.basic_profile(t, df, COLUMNS[t])
@@ -207,7 +216,20 @@ def direct_joins(spark: SparkSession, directory: str) -> DataFrame:
     return catalog.joins_between(catalog.foreign_keys_frame(spark), kept).select("table_name", "column_name", "target_table", "target_column")
 
 
-@query("select 'documents' as table_a, 'episodic_record' as table_b, 'database_id' as column_name ")
+STORED = [*TABLES, "documents", "embeddings", "episodic_record", "nl2sql_query", "column_values_signature", "column_profile", "cell_value", "similar_column_pair", "join_candidate", "database_metadata", "eval_item", "mixture_target"]
+
+
+@query(f"""with c as ({" union all ".join(f"select '{t}' as t, column_name as c from (describe select * from {t})" for t in STORED)}),
+  p as (select a.t as table_a, b.t as table_b, a.c as column_name, row_number() over (partition by a.t, b.t order by a.c) as r from c a join c b on lower(a.c) = lower(b.c) and a.t < b.t where lower(a.c) not in ('id', 'created_at', 'updated_at'))
+  select table_a, table_b, column_name from p where r <= 5""")
 def same_name_columns(spark: SparkSession, directory: str) -> DataFrame:
-    columns = catalog.columns_frame(spark, load(spark, directory, ["documents", "episodic_record", "orders"]))
-    return catalog.same_name_columns(columns)
+    return catalog.same_name_columns(catalog.columns_frame(spark, load(spark, directory, STORED)))
+
+
+@query(f"""with c as ({" union all ".join(f"select '{t}' as table_name, column_name from (describe select * from {t})" for t in STORED)}), n as ({" union all ".join(f"select '{t}' as table_name, count(*) as row_count from {t}" for t in STORED)})
+  select table_name, count(*) as columns, row_count from c join n using (table_name) group by all""")
+def table_info(spark: SparkSession, directory: str) -> DataFrame:
+    """Every stored table with its columns and rows; the tables are those the directory holds."""
+    tables = {t: d for t, d in catalog.stored_tables(spark, directory).items() if t in STORED}
+    counts = profile.table_counts(tables).where("table_name <> '(all)'")
+    return catalog.columns_frame(spark, tables).groupBy("table_name").agg(F.count("*").alias("columns")).join(counts, "table_name")

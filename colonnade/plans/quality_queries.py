@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colonnade.operators.quality import load_findings, profile_files
+from colonnade.operators.quality import load_findings, load_values, profile_files, write_clustered
 from colonnade.plans.registry import query
+from colonnade.plans.scratch import Scratch
 from colonnade.sources.tables import table
 
-@query("""
+FINDINGS = """
 with once as (select column_id, load_no, row_no, min(value) as value from cell_value group by all),
 counts as (select column_id, load_no, value, count(*) as n from once group by all),
 stats as (select column_id, load_no, sum(n) as rows, coalesce(sum(n) filter (value is null), 0) as nulls, count(value) as dist from counts group by all),
@@ -35,15 +37,35 @@ union select column_id, load_no, 'format' from tested where not fits
 union select column_id, load_no, 'range' from tested where fits and data_format = 'INT' and (try_cast(value as double) < min_value or try_cast(value as double) > max_value)
 union select column_id, load_no, 'drift' from steps where rows > 0 and rows0 > 0 and 4 * abs(nulls * rows0 - nulls0 * rows) >= rows * rows0
 union select column_id, load_no, 'drift' from moved
-""")
+"""
+
+
+@query(FINDINGS)
 def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     return load_findings(spark, table(spark, directory, "column_profile"), f"{directory}/cell_value.parquet")
 
 
+@query(FINDINGS)
+def p4_clustered(spark: SparkSession, directory: str) -> DataFrame:
+    """The findings from a copy of the values in which each row group holds one load."""
+    files = write_clustered(table(spark, directory, "cell_value"), f"{Scratch(spark).base}/clustered")
+    return load_findings(spark, table(spark, directory, "column_profile"), files)
+
+
+@query("""select count(*) as loads, count(*) filter (d > 12) as settled from (select column_id, load_no, count(distinct value) as d from cell_value group by all)""")
+def p4_settled(spark: SparkSession, directory: str) -> DataFrame:
+    """How many loads of the clustered copy there are, and how many footers and dictionaries settle: all with more values than
+    shares are needed for."""
+    scratch = Scratch(spark)
+    got = load_values(spark, write_clustered(table(spark, directory, "cell_value"), f"{scratch.base}/clustered"), scratch)
+    return got.loads.agg(F.count("*").alias("loads")).withColumn("settled", F.lit(got.settled).cast("bigint"))
+
+
 @query(
     " union all ".join(
         f"select '{c}' as \"column\", count(*) as rows, count(*) - count({c}) as nulls, count(distinct {c}) as \"distinct\", "
         + (f"round(min({c})::double, 6) as low, round(max({c})::double, 6) as high" if n else "null::double as low, null::double as high")
+        + ", true as counted"
         + " from lineitem"
         for c, n in (
             ("l_orderkey", 1), ("l_partkey", 1), ("l_suppkey", 1), ("l_linenumber", 1), ("l_quantity", 1), ("l_extendedprice", 1),
@@ -52,6 +74,6 @@ def p4_found(spark: SparkSession, directory: str) -> DataFrame:
     )
 )
 def p4_profile(spark: SparkSession, directory: str) -> DataFrame:
-    """Every column of a table, from footers and dictionaries as far as they go."""
-    got = profile_files(spark, f"{directory}/lineitem.parquet").drop("chunks", "scanned")
-    return got.selectExpr("column", "rows", "nulls", "distinct", "round(low, 6) as low", "round(high, 6) as high")
+    """Every column of a table, from footers and dictionaries as far as they go, and whether no more was scanned than there is."""
+    got = profile_files(spark, f"{directory}/lineitem.parquet")
+    return got.selectExpr("column", "rows", "nulls", "distinct", "round(low, 6) as low", "round(high, 6) as high", "scanned <= chunks and chunks > 0 as counted")

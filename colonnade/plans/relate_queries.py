@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.operators import catalog, profile, relate
-from colonnade.plans.profile_queries import CELLS, COLUMNS, NUMBERS, TEXT_COLUMNS, cells, load
+from colonnade.plans.profile_queries import CELLS, FAMILY_SQL, TEXTS, TEXT_COLUMNS, cells, load
+from colonnade.plans.scratch import Scratch
 from colonnade.plans.registry import query
 from colonnade.sources.tables import table
 
-FAMILY_SQL = f"case when column_name in ({', '.join(repr(c) for c in sorted(NUMBERS))}) then 'number' else 'text' end"
 SIZED = f"""d as (select distinct table_name, column_name, {{value}} as value from {CELLS} where value is not null {{where}}),
   n as (select table_name, column_name, {FAMILY_SQL} as family, count(*) as n from d group by all),
   o as (select a.table_name as table_a, a.column_name as column_a, b.table_name as table_b, b.column_name as column_b, x.n as n_a, y.n as n_b, count(*) as n_common
@@ -44,8 +44,9 @@ def value_containment(spark: SparkSession, directory: str) -> DataFrame:
   select table_a as source_table, column_a as source_column, table_b as target_table, column_b as target_column, round(n_common / n_a, 6) as inclusion, n_common
   from p join u on u.table_name = table_b and u.column_name = column_b where n_common / n_a >= 0.95 and column_a[3:] = column_b[3:]""")
 def verified_join_paths(spark: SparkSession, directory: str) -> DataFrame:
-    rows = cells(spark, directory)
-    got = relate.verified_joins(key_overlaps(spark, directory), profile.key_uniqueness(rows))
+    rows = Scratch(spark).keep(cells(spark, directory), "cells")  # counted once, read for overlaps and for uniqueness
+    overlaps = relate.overlaps(relate.distinct_values(rows), families(spark, directory), 5)
+    got = relate.verified_joins(overlaps, profile.key_uniqueness(rows))
     return got.withColumn("inclusion", F.round("inclusion", 6))
 
 
@@ -87,7 +88,7 @@ def join_skip_reason(spark: SparkSession, directory: str) -> DataFrame:
 
 
 @query(f"""with n as (select table_name, column_name, {FAMILY_SQL} as family, count(*) as t, count(distinct value) as n from {CELLS} group by all),
-  s as (select *, case when family = 'number' then case when n <= 20 then 'Categorical' when n / t > 0.95 then 'Identifier' else 'Numerical' end
+  s as (select *, case when family = 'time' then 'Datetime' when family = 'number' then case when n <= 20 then 'Categorical' when n / t > 0.95 then 'Identifier' else 'Numerical' end
     when n <= 100 and n / t < 0.6 then 'Categorical' when n / t > 0.95 then 'Identifier' else 'Free_Text' end as sem from n)
   select a.table_name as table_a, a.column_name as column_a, b.table_name as table_b, b.column_name as column_b, case
     when a.n <= 2 then 'boolean_or_binary:a' when b.n <= 2 then 'boolean_or_binary:b' when a.n <= 5 then 'low_cardinality:' || a.n || '_values' when b.n <= 5 then 'low_cardinality:' || b.n || '_values'
@@ -106,16 +107,38 @@ def similarity_reason(spark: SparkSession, directory: str) -> DataFrame:
     return a.join(b, F.col("table_a") < F.col("table_b")).select("table_a", "column_a", "table_b", "column_b", reason.alias("reason"), relate.names_similar(*names).alias("names_similar"))
 
 
-@query(f"""with d as (select distinct table_name, column_name, value from {CELLS} where value is not null),
-  l as (select table_name, column_name, {FAMILY_SQL} as family, min(length(value)) as lo, max(length(value)) as hi from d group by all)
-  select a.table_name as table_a, a.column_name as column_a, b.table_name as table_b, b.column_name as column_b,
-    case when a.lo = b.lo then 'same' when abs(a.lo - b.lo) <= 2 then 'similar' end as min_length, case when a.hi = b.hi then 'same' when abs(a.hi - b.hi) <= 2 then 'similar' end as max_length
-  from l a join l b on a.table_name < b.table_name and a.family = b.family""")
+_LCP = "(select max(i) from range(0, 200) r(i) where i <= least(length({0}), length({1})) and {0}[1:i] = {1}[1:i])"
+SHAPES = f"""d as (select distinct table_name, column_name, value from {CELLS} where value is not null),
+  n as (select table_name, column_name, {FAMILY_SQL} as family, count(*) as t, count(distinct value) as n from {CELLS} group by all),
+  l as (select table_name, column_name, min(length(value)) as lo, max(length(value)) as hi from d group by all),
+  e as (select table_name, column_name, min(value) as a, max(value) as b, min(reverse(value)) as ra, max(reverse(value)) as rb from (select * from d where value <> '' and (table_name, column_name) in (select table_name, column_name from {TEXTS})) group by all having count(*) >= 2),
+  x as (select *, {_LCP.format('a', 'b')} as p, {_LCP.format('ra', 'rb')} as q from e),
+  sh as (select n.table_name, n.column_name, lo, hi, case when p >= 3 then a[1:p] end as pre, case when q >= 3 then reverse(ra[1:q]) end as suf, family,
+    case when family = 'time' then 'Datetime' when family = 'number' then case when n <= 20 then 'Categorical' when n / t > 0.95 then 'Identifier' else 'Numerical' end
+      when n <= 100 and n / t < 0.6 then 'Categorical' when n / t > 0.95 then 'Identifier' else 'Free_Text' end as sem
+    from n join l using (table_name, column_name) left join x using (table_name, column_name))"""
+
+
+@query(f"""with {SHAPES} select a.table_name as table_a, a.column_name as column_a, b.table_name as table_b, b.column_name as column_b, concat_ws(';',
+    case when a.lo = 0 or b.lo = 0 then null when a.lo = b.lo then 'same_min_length=' || a.lo when abs(a.lo - b.lo) <= 2 then 'similar_min_length=' || a.lo || ' vs ' || b.lo end,
+    case when a.hi = 0 or b.hi = 0 then null when a.hi = b.hi then 'same_max_length=' || a.hi when abs(a.hi - b.hi) <= 2 then 'similar_max_length=' || a.hi || ' vs ' || b.hi end,
+    case when a.pre = b.pre then 'shared_prefix=' || a.pre end, case when a.suf = b.suf then 'shared_suffix=' || a.suf end, case when a.family = b.family then 'same_data_type=' || a.family end,
+    case when a.sem = b.sem then 'same_semantic_type=' || a.sem end) as features from sh a join sh b on a.table_name < b.table_name""")
 def shared_shape_features(spark: SparkSession, directory: str) -> DataFrame:
-    shapes = profile.length_stats(cells(spark, directory)).join(families(spark, directory), ["table_name", "column_name"])
-    a, b = (shapes.select("family", F.col("table_name").alias(f"table_{x}"), F.col("column_name").alias(f"column_{x}"), F.col("min_length").alias(f"lo_{x}"), F.col("max_length").alias(f"hi_{x}")) for x in "ab")
-    near = lambda c: F.when(F.col(f"{c}_a") == F.col(f"{c}_b"), "same").when(F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) <= 2, "similar")
-    return a.join(b, "family").where("table_a < table_b").select("table_a", "column_a", "table_b", "column_b", near("lo").alias("min_length"), near("hi").alias("max_length"))
+    """What the shapes of two columns have in common; the frame of all columns is small whatever the tables hold."""
+    rows = Scratch(spark).keep(cells(spark, directory), "cells")
+    stats = profile.column_stats(rows).join(families(spark, directory), ["table_name", "column_name"])
+    semantic = profile.semantic_type(F.col("family"), F.col("distinct_count"), F.col("total_count") + F.col("null_count"))
+    texts = stats.where("family = 'text'").select("table_name", "column_name")
+    fixed = profile.fixity(rows.join(texts, ["table_name", "column_name"], "left_semi"))
+    shapes = stats.select("table_name", "column_name", F.col("family").alias("data_type"), semantic.alias("semantic_type"))
+    shapes = shapes.join(profile.length_stats(rows), ["table_name", "column_name"]).join(fixed, ["table_name", "column_name"], "left")
+    kinds = ("min_length", "max_length", "fixed_prefix", "fixed_suffix", "data_type", "semantic_type")
+    a, b = (shapes.select(F.col("table_name").alias(f"table_{x}"), F.col("column_name").alias(f"column_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in kinds]) for x in "ab")
+    both = a.join(b, F.col("table_a") < F.col("table_b"))
+    features = relate.shared_features(*({k: F.col(f"{k}_{x}") for k in kinds} for x in "ab"))
+    text = F.array_join(F.transform(F.map_entries(features), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
+    return both.select("table_a", "column_a", "table_b", "column_b", text.alias("features"))
 
 
 def _cardinality_sql(s, sc, t, tc):
@@ -148,9 +171,18 @@ def join_fanout(spark: SparkSession, directory: str) -> DataFrame:
     return got.withColumns({"avg_fanout": F.round("avg_fanout", 6), "match_ratio": F.round("match_ratio", 6)})
 
 
-@query("select distinct c_custkey as value from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select distinct o_orderkey as value from orders where o_orderkey not in (select c_custkey from customer where c_custkey is not null)")
 def completeness_missing(spark: SparkSession, directory: str) -> DataFrame:
-    return relate.missing_values(table(spark, directory, "customer"), "c_custkey", table(spark, directory, "orders"), "o_custkey")
+    return relate.missing_values(table(spark, directory, "orders"), "o_orderkey", table(spark, directory, "customer"), "c_custkey")
+
+
+@query("""with a as (select distinct o_orderkey as v from orders where o_orderkey is not null), m as (select v from a where v not in (select user_id from events where user_id is not null))
+  select n as left_values, k as missing_values, round(k / n, 6) as missing_share, (select string_agg(v::varchar, ',' order by v::varchar) from (select v from m order by v limit 20)) as samples, nulls as right_nulls,
+    case when k = 0 then 'none' when k / n <= 0.05 then 'low' when k / n <= 0.2 then 'medium' else 'high' end as risk
+  from (select (select count(*) from a) as n, (select count(*) from m) as k, (select count(*) from events where user_id is null) as nulls)""")
+def completeness(spark: SparkSession, directory: str) -> DataFrame:
+    got = relate.completeness(table(spark, directory, "orders"), "o_orderkey", table(spark, directory, "events"), "user_id")
+    return got.withColumn("samples", F.array_join("samples", ","))
 
 
 @query("select user_id as value from events where user_id is not null intersect select o_custkey from orders")

@@ -64,9 +64,8 @@ def cosine_topk(spark: SparkSession, directory: str) -> DataFrame:
     return retrieve.dense_search(spark, docs, e.where("vec_id % 100 = 0").selectExpr("vec_id as query", "embedding as vector"), 10).drop("rank")
 
 
-#: The phrases that the SQL of the value searches is written for; the searches themselves take the values of the tables.
-PHRASES = [(1, "Asia"), (2, " BUILDING"), (3, "1-urgent"), (4, "automobile household"), (5, "brand"), (6, "europe and america"), (7, "purchase")]
-PHRASES_SQL = "(values " + ", ".join(f"({i}, '{p}')" for i, p in PHRASES) + ") f(query, phrase)"
+#: (query, phrase): the texts of all rows with a key divisible by 100.
+PHRASES_SQL = "(" + " union ".join(f"select '{t}.{c}.' || {COLUMNS[t][0]} as query, {c} as phrase from {t} where {COLUMNS[t][0]} % 100 = 0 and {c} is not null" for t, cs in TEXT_COLUMNS.items() for c in cs) + ") f"
 INDEX_SQL = f"(select distinct lower(trim(value)) as norm, table_name, column_name, value from {TEXTS} where length(lower(trim(value))) >= 2)"
 
 
@@ -90,7 +89,7 @@ def value_exact_match(spark: SparkSession, directory: str) -> DataFrame:
     return retrieve.exact_matches(index(spark, directory), phrases(spark, directory))
 
 
-@query(f"""with m as (select query, table_name, column_name, value, least(length(norm), length(p)) / greatest(length(norm), length(p)) as ratio from (select query, lower(trim(phrase)) as p from {PHRASES_SQL}) join {INDEX_SQL}
+@query(f"""with m as (select query, table_name, column_name, value, least(length(norm), length(p)) / greatest(length(norm), length(p)) as ratio from (select query, lower(trim(phrase)) as p from {PHRASES_SQL} where length(lower(trim(phrase))) >= 3) join {INDEX_SQL}
     on length(norm) >= 3 and norm <> p and (contains(norm, p) or contains(p, norm)))
   select query, table_name, column_name, value, round(0.7 * ratio, 6) as score from m where ratio >= 0.4 qualify row_number() over (partition by query order by score desc, table_name, column_name, value) <= 20""")
 def value_partial_match(spark: SparkSession, directory: str) -> DataFrame:

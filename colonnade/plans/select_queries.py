@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colonnade.operators import execute, select
-from colonnade.plans.registry import query
+from colonnade.plans.registry import mean, mean_sql, query
 from colonnade.sources.tables import register, table
 
 CANDIDATES = """(select lower(database_id) || '|' || user_query as question, record_id as candidate, execution_result.execution_success as succeeded,
@@ -44,13 +44,14 @@ def result_preview(spark: SparkSession, directory: str) -> DataFrame:
     return execute.preview(rows, ["record_id"])
 
 
-@query("""with l as (select lower(database_id) as database_id, execution_result.execution_time_ms as ms from episodic_record where execution_result.execution_success and database_id is not null),
+@query(f"""with l as (select lower(database_id) as database_id, execution_result.execution_time_ms as ms from episodic_record where execution_result.execution_success and database_id is not null),
   s as (select *, avg(ms) over w as m, stddev_pop(ms) over w as s from l window w as (partition by database_id))
-  select database_id, round(avg(ms) filter (abs(ms - m) <= 3 * s + 1e-9), 4) as mean_ms, count(*) filter (abs(ms - m) <= 3 * s + 1e-9) as runs from s group by all""")
+  select database_id, {mean_sql("case when abs(ms - m) <= 3 * s + 1e-9 then ms end")} as mean_ms, count(*) filter (abs(ms - m) <= 3 * s + 1e-9) as runs from s group by all""")
 def timing_trim(spark: SparkSession, directory: str) -> DataFrame:
     log = table(spark, directory, "episodic_record").where("execution_result.execution_success and database_id is not null")
     log = log.select(F.lower("database_id").alias("database_id"), F.col("execution_result.execution_time_ms").alias("ms"))
-    return execute.trimmed_time(log, ["database_id"], "ms").withColumn("mean_ms", F.round("mean_ms", 4))
+    kept = execute.usual_times(log, ["database_id"], "ms")
+    return kept.groupBy("database_id").agg(mean("ms").alias("mean_ms"), F.count("ms").alias("runs"))
 
 
 @query(f"with {VALID} select question, result, group_size, valid, round(share, 6) as share, representative from s")
@@ -103,10 +104,10 @@ def final_selection(spark: SparkSession, directory: str) -> DataFrame:
     return select.final_selection(select.win_matrix(given), top).withColumn("score", F.round("score", 6))
 
 
-@query("select lower(database_id) as database_id, count(*) as questions, round(avg(label::int), 6) as accuracy from episodic_record where label is not null and database_id is not null group by all")
+@query(f"select lower(database_id) as database_id, count(*) as questions, {mean_sql('label::int')} as accuracy from episodic_record where label is not null and database_id is not null group by all")
 def ex_accuracy_by_db(spark: SparkSession, directory: str) -> DataFrame:
     rows = table(spark, directory, "episodic_record").where("database_id is not null").select(F.lower("database_id").alias("database_id"), F.col("label").cast("int").alias("correct"))
-    return select.accuracy(rows, "database_id").withColumn("accuracy", F.round("accuracy", 6))
+    return rows.where("correct is not null").groupBy("database_id").agg(F.count("*").alias("questions"), mean("correct").alias("accuracy"))
 
 
 PAIRS = {

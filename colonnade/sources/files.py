@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,20 +34,73 @@ def read_benchmark(spark: SparkSession, path: str, databases: list[str] | None =
     return got.where(F.col("db_id").isin(databases)) if databases is not None else got
 
 
-def read_descriptions(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Column descriptions of one CSV per table, texts normalised; the table is the file's name."""
-    raw = spark.read.option("header", True).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
-    table = F.regexp_extract(F.input_file_name(), r"([^/]+)\.csv$", 1)
-    return raw.select(
-        table.alias("table_name"), F.trim("original_column_name").alias("column_name"), normalise_description(F.col("column_description")).alias("description"),
-        F.col("data_format"), normalise_description(F.col("value_description")).alias("value_description"),
-    )
+ENCODINGS = ("utf-8-sig", "utf-16", "cp1252", "latin-1")
+DESCRIPTION = "table_name string, column_name string, expanded_name string, description string, data_format string, value_description string"
+
+
+def read_descriptions(spark: SparkSession, path: str, encodings: tuple[str, ...] = ENCODINGS) -> DataFrame:
+    """Column descriptions of one CSV per table, names in lower case, texts normalised; the table is the file's name.
+
+    A file is read in the first encoding that all of it decodes in, UTF-16 only with its mark. Rows without a column are left
+    out; missing texts are empty, and "not useful" before the text on values is dropped.
+    """
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for uri, body in zip(batch["path"], batch["content"]):
+                for e in encodings:
+                    try:
+                        if e == "utf-16" and body[:2] not in (b"\xff\xfe", b"\xfe\xff"):
+                            continue
+                        text = body.decode(e)
+                        break
+                    except UnicodeDecodeError:
+                        continue
+                else:
+                    raise ValueError(f"{uri} is in none of {encodings}")
+                rows = [{(k or "").strip(): v for k, v in r.items() if isinstance(v, str)} for r in csv.DictReader(io.StringIO(text, newline=""))]
+                rows = [r for r in rows if r.get("original_column_name", "").strip()]
+                name = uri.rsplit("/", 1)[-1].removesuffix(".csv").lower().strip()
+                cell = lambda c: [r.get(c, "").strip() for r in rows]  # noqa: B023, E731
+                yield pd.DataFrame({"table_name": name, "column_name": [c.lower() for c in cell("original_column_name")], "expanded_name": cell("column_name"), "description": cell("column_description"), "data_format": cell("data_format"), "value_description": cell("value_description")})
+
+    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, DESCRIPTION)
+    values = F.regexp_replace(normalise_description(F.col("value_description")), r"(?i)^not useful\s*", "")
+    return raw.withColumns({"description": normalise_description(F.col("description")), "value_description": values})
 
 
 def read_insights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INSIGHT).json(path)
 
 
+def write_insights(insights: DataFrame, path: str) -> None:
+    """Insights as JSON lines that ``read_insights`` reads; null fields are left out."""
+    insights.write.mode("append").json(path)
+
+
+def write_pairs(pairs: DataFrame, path: str) -> None:
+    """Column pairs or clusters as a Parquet store with a folder for each database; a database that comes again is replaced."""
+    pairs.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("database_id").parquet(path)
+
+
+def read_pairs(spark: SparkSession, path: str, database: str | None = None) -> DataFrame:
+    """A store of pairs, or the one folder of a database."""
+    store = spark.read.parquet(path)
+    return store if database is None else store.where(F.col("database_id") == database)
+
+
+def export_predictions(chosen: DataFrame, path: str) -> None:
+    """(question_id, sql) as one JSON object a line, ``{"question_id": ..., "sql": ...}``, the last text of a question only."""
+    last = chosen.groupBy("question_id").agg(F.max_by("sql", F.coalesce("seq", F.lit(0))).alias("sql")) if "seq" in chosen.columns else chosen.dropDuplicates(["question_id"])
+    last.select(F.col("question_id").cast("string").alias("question_id"), "sql").write.mode("overwrite").json(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV with a header; lists, maps and structs as JSON text."""
+    flat = [F.to_json(f.name).alias(f.name) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name) for f in df.schema.fields]
+    df.select(*flat).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
 def few_shots(texts: DataFrame, c: str) -> DataFrame:
     """(question, sql) of a prompt's solved examples; the last question of a prompt is the one to solve and is left out."""
     pattern = r"/\* Answer the following: (.*?) \*/\s*(.*?)(?=/\*|$)"

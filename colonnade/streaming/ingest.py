@@ -46,10 +46,10 @@ def start_ingest(records: DataFrame, store: str, checkpoint: str, ts: str = "ts"
     schema = records.schema
 
     def read() -> DataFrame:
-        try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(store)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
             return spark.read.schema(schema).parquet(store)
-        except Exception:  # no store yet
-            return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
 
     def write(df: DataFrame) -> None:
         df.withColumn("year", F.year(ts)).write.mode("append").partitionBy("year").parquet(store)

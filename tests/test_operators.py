@@ -205,15 +205,57 @@ def test_text_functions(spark):
 
 
 def test_sql_text(spark):
-    c = "WITH x AS (SELECT a, ROW_NUMBER() OVER (PARTITION BY b) FROM t WHERE s = ' join ') SELECT * FROM x UNION SELECT 1"
-    assert column(spark, c, sqltext.complexity) == 5 + 3 + 3 and column(spark, "not a query", sqltext.complexity) == 100
-    assert column(spark, c, sqltext.intents) == "subquery,window"
     assert column(spark, "SELECT a.x, b.y FROM t AS a JOIN u AS b ON a.i = b.i WHERE a.x > 3 AND b.y = 'z'", sqltext.skeleton) == "select _ from _ join _ where _ > _ and _ = _"
-    assert column(spark, "select 1 from \"T\" join u on T.b = u.a", sqltext.join_conditions) == ["t.b = u.a"]
     assert column(spark, "select t.* from t", sqltext.checks) == "select"
     assert column(spark, "select a from t order by max(b) limit 1", sqltext.checks) == "order_by_limit"
     assert column(spark, "select a from t join u on t.a = u.b or t.a = u.c", sqltext.checks) == "join"
-    assert "Join" in sqltext.plan_nodes(spark, "select * from a join b on a.x = b.x") and sqltext.plan_nodes(spark, "selec") is None
+    nulls = {"SELECT a FROM t ORDER BY a LIMIT 3": "order_by_null", "SELECT SUM(x) FROM t ORDER BY a LIMIT 3": "order_by_null", "SELECT a FROM t ORDER BY SUM(a) LIMIT 3": "", "select a from t order by a limit 3": "", "SELECT a FROM t ORDER BY a DESC LIMIT 3": ""}
+    assert {s: column(spark, s, sqltext.checks) for s in nulls} == nulls
+    assert column(spark, "select a || ' ' || b from t", sqltext.split_joined_texts) == "select a ,  b from t"
+    assert column(spark, 'select a from t where b like "x%"', sqltext.repair_like) == "select a from t where b LIKE 'x%'"
+    assert column(spark, "select 1 where strftime('%Y', date(d)) >= 2010 and strftime('%m', d) = 12 and x = 2011", sqltext.quote_time) == "select 1 where strftime('%Y', date(d)) >= '2010' and strftime('%m', d) = 12 and x = 2011"
+
+
+def test_descriptions(spark):
+    assert column(spark, "a\nb commonsense evidence: z", T.normalise_description) == "a b z"
+    assert column(spark, "not useful\r\nCommonsense Evidence:  x", T.normalise_description) == "not useful Commonsense Evidence: x"
+
+
+def test_only_queries_run(spark):
+    frame(spark, [(1,)], "a int").createOrReplaceTempView("kept_view")
+    for text in ("drop view kept_view", "create temp view other as select 1", "insert into kept_view select 2", "with x as (select 1) insert into kept_view select * from x", "set a.b = c"):
+        assert execute.run(spark, text).result_type == "execution_error"
+    assert execute.run(spark, "with x as (select a from kept_view) select * from x union all select 2;").rows == 2
+
+
+def test_runs_are_remembered(spark):
+    r = execute.Runs(spark, most=2)
+    assert r.run("select 1") is r.run(" select  1") and r.first_rows("select explode(array(1, 2, 3)) as x order by x", 2) == [(1,), (2,)]
+    assert r.check("select null as x") == {"syntax": True, "result": False} and r.check("selec") == {"syntax": False, "result": False}
+    assert r.choose(["selec", "select 2", "select 1 + 0", "select 1"]) == "select 1 + 0" and r.choose(["selec"]) is None and len(r.known) == 2
+    assert execute.repeat_times(spark, "select 1", 2) < 60_000 and execute.repeat_times(spark, "selec", 2) == float("inf")
+
+
+def test_sessions_one_by_one(spark):
+    shape = "n int, s string, k string"
+    for rows, want in (([(1, "s1", "k1"), (2, "s1", "k2"), (3, "s2", "k2")], [1, 3]), ([(1, "s1", "k1"), (2, "s2", "k1"), (3, "s2", "k3"), (4, None, "k4"), (5, None, "k5"), (6, "old", "k6"), (7, "s7", "known")], [1, 3, 4, 5])):
+        got = memory.dedup_sessions(frame(spark, [(0, "old", "known")], shape), frame(spark, rows, shape), F.col("s"), [F.col("k")], "n")
+        assert sorted(r.n for r in got.collect()) == want
+
+
+def test_empty_values(spark):
+    df = frame(spark, [(" ", float("nan"), [], {}, None), ("x", 0.0, [1], {"a": "b"}, 1)], "a string, b double, c array<int>, d map<string,string>, e int")
+    assert [list(r) for r in df.select(*[memory.empty_value(df, c).alias(c) for c in df.columns]).collect()] == [[True] * 5, [False] * 5]
+
+
+def test_ranks_of_large_groups(spark):
+    rows = frame(spark, [("a" if i % 3 else "b", i * 7 % 1000) for i in range(1000)], "g string, n int").repartition(5)
+    for down in (False, True):
+        got = {(r.g, r.n): r._r for r in memory.ranked(rows, "g", "n", down).collect()}
+        for g in "ab":
+            ns = sorted((n for h, n in got if h == g), reverse=down)
+            assert [got[g, n] for n in ns] == list(range(1, len(ns) + 1))
+    assert memory.ranked(rows.limit(0), "g", "n").count() == 0
 
 
 def test_catalog(spark):

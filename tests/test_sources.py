@@ -53,3 +53,24 @@ def test_event_windows(spark):
     events = spark.createDataFrame(rows, "ts timestamp, user string, kind string, value double")
     assert [(r.n, r.total) for r in ingest.event_windows(events, "ts", "kind", "value", "1 hour").collect()] == [(4, 4.0)]
     assert sorted(r.n for r in ingest.event_sessions(events, "ts", "user").collect()) == [1, 1, 2]
+
+
+def test_description_encodings(spark, tmp_path):
+    head = "original_column_name,column_name,column_description,data_format,value_description\n"
+    for name, e in (("One", "utf-8-sig"), ("two", "cp1252"), ("three", "utf-16")):
+        (tmp_path / f"{name}.csv").write_bytes((head + '"Größe ",size,"commonsense evidence: café",text,Not Useful\n,,,,\n').encode(e))
+    got = sorted(tuple(r) for r in files.read_descriptions(spark, f"{tmp_path}/*.csv").collect())
+    assert got == [(t, "größe", "size", "café", "text", "") for t in ("one", "three", "two")]
+
+
+def test_writers(spark, tmp_path):
+    pairs = spark.createDataFrame([("d", "a", ["x"]), ("e", "b", None)], "database_id string, a string, methods array<string>")
+    files.write_pairs(pairs, f"{tmp_path}/p")
+    files.write_pairs(pairs.where("database_id = 'd'").withColumn("a", pairs.a), f"{tmp_path}/p")
+    assert files.read_pairs(spark, f"{tmp_path}/p").count() == 2 and files.read_pairs(spark, f"{tmp_path}/p", "d").first().a == "a"
+    files.export_csv(pairs, f"{tmp_path}/c")
+    assert sorted(r.methods or "" for r in spark.read.option("header", True).option("escape", '"').csv(f"{tmp_path}/c").collect()) == ["", '["x"]']
+    files.export_predictions(spark.createDataFrame([(1, "old", 0), (1, "new", 1)], "question_id int, sql string, seq int"), f"{tmp_path}/j")
+    assert spark.read.json(f"{tmp_path}/j").first().asDict() == {"question_id": "1", "sql": "new"}
+    files.write_insights(spark.createDataFrame([("i1",)], "insight_id string"), f"{tmp_path}/i")
+    assert files.read_insights(spark, f"{tmp_path}/i").first().insight_id == "i1"

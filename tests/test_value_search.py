@@ -2,11 +2,9 @@ import os
 
 import pytest
 
-from colonnade.operators import retrieve
 from colonnade.plans import retrieve_queries as q
 from colonnade.plans.profile_queries import COLUMNS, TEXT_COLUMNS
-from colonnade.plans.queries import ORACLE
-from tests.oracle import DATA, connect, same
+from tests.oracle import DATA, connect
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 
@@ -16,12 +14,6 @@ def con():
     return connect()
 
 
-@pytest.mark.parametrize("name", ["value_exact_match", "value_partial_match"])
-def test_fixed_phrases_against_sql(spark, con, name):
-    search = {"value_exact_match": retrieve.exact_matches, "value_partial_match": retrieve.partial_matches}[name]
-    same(spark, name, lambda s, d: search(q.index(s, d), s.createDataFrame(q.PHRASES, "query int, phrase string")), ORACLE[name], con)
-
-
 def test_every_hundredth_row_against_brute_force(spark, con):
     phrases = {
         (f"{t}.{c}.{k}", v.strip(" ").lower())
