@@ -4,8 +4,8 @@ A record is its set of words. Each of several trees orders all records by a labe
 records which agree on a prefix of the label lie next to each other: the sorted form of a prefix trie. A record is
 compared with the records of the longest-lived node that is still small: matched prefixes are shortened, level by
 level, as far as the node stays within ``node_rows``; ``tree_count`` gives the trees that reach ``target_recall`` at the
-threshold. Pairs are pre-filtered by a 64-bit sketch and then verified on the full word sets. Nodes that stay large down
-to the last level hold long families of near copies: their records are tied to the node's first record.
+threshold. Pairs are pre-filtered by a sketch, which drops none that are similar, and then verified on the full word
+sets. Nodes that stay large down to the last level hold long families of near copies: their records are tied to the node's first record.
 
 ``tree_count`` counts a pair as found once it shares a node of ``sure_level`` levels, so the recall must not depend on how
 many rows such a node has. Those that are too large to be compared at once are completed in a second pass: all of their
@@ -34,6 +34,7 @@ from colonnade.plans.scratch import Scratch
 
 LEVELS = 4
 TREE_BITS = 26  #: bits of a label's first level that ``part`` holds, so that first nodes are apart up to billions of sets
+SIZE = np.uint64(0xFFFF)  #: bits of a sketch that hold the size of the set; the other 48 are parities of its hashed words
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +47,6 @@ class ForestParameters:
     full_depth: int = 2  #: MinHash values in one level of the second forest
     common_share: float = 0.01
     node_rows: int = 96
-    sketch_slack: float = 5.0  #: standard deviations by which a sketch may miss the threshold
     block_rows: int = 20_000  #: rows of a large node that one task compares with the rest of the node
     hot_share: float = 0.002  #: share of a tree's rows from which a prefix is split over tasks by its next level
     sample_sets: int = 20_000  #: sets in the sample that finds such prefixes
@@ -67,10 +67,17 @@ class ForestParameters:
         """Levels that a pair is to share in the tree of each row, as the number of trees assumes."""
         return np.where(part >> TREE_BITS < self.rare_trees, 1, 2)
 
-    @property
-    def sketch_limit(self) -> int:
-        p = (1 - self.threshold) / 2
-        return math.ceil(64 * p + self.sketch_slack * math.sqrt(64 * p * (1 - p)))
+    def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether sets with these sketches may have the similarity; never false for sets that have it.
+
+        Two sets differ in at least as many words as their parity bits do, and in at most (n + m) (1 - t) / (1 + t) words if
+        their similarity is t or more.
+        """
+        t = round(self.threshold * 1000)
+        n, m = (a & SIZE).astype(np.int64), (b & SIZE).astype(np.int64)
+        differ = np.bitwise_count((a ^ b) & ~SIZE).astype(np.int64)
+        fits = (differ * (1000 + t) <= (n + m) * (1000 - t)) & (np.minimum(n, m) * 1000 >= np.maximum(n, m) * t)
+        return fits | (np.maximum(n, m) == int(SIZE))
 
 
 def word_sets(df: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
@@ -138,7 +145,7 @@ def labels(sets: DataFrame, common: np.ndarray, p: ForestParameters, hot: dict[i
     """
     rare_sure, full_sure = 1, 2 * p.full_depth
     rare_seeds = _seeds(max(p.rare_trees * rare_sure, LEVELS), 1)
-    full_seeds, bit_seeds = _seeds(max(p.full_trees * full_sure, LEVELS * p.full_depth), 2), _seeds(64, 3)
+    full_seeds = _seeds(max(p.full_trees * full_sure, LEVELS * p.full_depth), 2)
     threshold, rare_similarity = p.threshold, p.rare_similarity
     hot = hot or {}
 
@@ -167,9 +174,8 @@ def labels(sets: DataFrame, common: np.ndarray, p: ForestParameters, hot: dict[i
                 pos = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
                 rare = (common[pos] != flat) if len(common) else np.ones(len(flat), bool)
                 flat = flat.view(np.uint64)
-                sketch = np.zeros(len(keys), np.uint64)
-                for m in _mins(flat, starts, bit_seeds):
-                    sketch = sketch << np.uint64(1) | (m & np.uint32(1))
+                bits = np.uint64(1) << (np.uint64(16) + (flat ^ flat >> np.uint64(29)) * GOLDEN % np.uint64(48))
+                sketch = np.bitwise_xor.reduceat(bits, starts) | np.minimum(sizes, int(SIZE)).astype(np.uint64)
                 n_rare = np.add.reduceat(rare.astype(np.int64), starts)
                 some = np.flatnonzero(n_rare)
                 # A partner may lack (1 - t) n words; if those can be so many of the uncommon ones that the similarity of the
@@ -243,7 +249,7 @@ class _Trie:
     """Walks the rows of one sorted partition; keeps at most the rows of one unfinished small node."""
 
     def __init__(self, p: ForestParameters):
-        self.p, self.rows, self.limit = p, p.node_rows, p.sketch_limit
+        self.p, self.rows = p, p.node_rows
         self.wide: list[tuple] = []  #: (node, key) of the rows in large nodes of the sure level, until the caller takes them
         self.rest: tuple[np.ndarray, ...] | None = None
         self.large: dict[int, tuple] = {}  #: level -> prefix of a node that was seen to be large before it ended
@@ -299,7 +305,8 @@ class _Trie:
                     lk, ls = np.where(same, self.leader[2], lk), np.where(same, self.leader[3], ls)
                 ids = (part[hot_rows].view(np.uint64) << np.uint64(40)) ^ (label[hot_rows] * GOLDEN)
                 hot.append((ids.view(np.int64), key[hot_rows], lk))
-                pairs.append((lk, key[hot_rows]))
+                tied = self.p.near(ls, sketch[hot_rows])
+                pairs.append((lk[tied], key[hot_rows[tied]]))
                 self.leader = (pa_[-1], lb[-1], lk[-1], ls[-1]) if big[-1] and not last else None
         rows = np.flatnonzero(wide & (np.arange(n) < hold))
         if len(rows):
@@ -311,7 +318,7 @@ class _Trie:
         step = 1
         while len(alive):
             other = alive + step
-            near = np.bitwise_count(sketch[alive] ^ sketch[other]) <= self.limit
+            near = self.p.near(sketch[alive], sketch[other])
             if near.any():
                 pairs.append((key[alive[near]], key[other[near]]))
             step += 1
