@@ -28,11 +28,14 @@ def top(hits: DataFrame, k: int, by: list[str] | None = None) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Okapi scores above 0 of the documents that share a token with a query; a document without tokens has length 0."""
-    post = postings(docs)
-    lengths = docs.select("doc", F.size(T.tokens(F.col("text"))).alias("length")).where("length >= 0")
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, post: DataFrame | None = None) -> DataFrame:
+    """Okapi scores above 0 of the documents that share a token with a query; a document without tokens has length 0.
+
+    ``post`` are the postings of the documents, if there are any already.
+    """
+    post = postings(docs) if post is None else post
+    lengths = post.groupBy("doc").agg(F.sum("tf").alias("length"))
+    whole = docs.where("text is not null").agg(F.count("*").alias("n")).crossJoin(lengths.agg(F.sum("length").alias("all"))).select("n", (F.col("all") / F.col("n")).alias("mean"))
     asked = queries.select("query", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token"))
     df = post.join(asked.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
     found = asked.join(df, "token").join(post, "token").join(lengths, "doc").crossJoin(F.broadcast(whole))
@@ -46,9 +49,9 @@ def relative(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.col("score") / F.max("score").over(Window.partitionBy("query")))
 
 
-def tfidf(docs: DataFrame) -> DataFrame:
+def tfidf(docs: DataFrame, post: DataFrame | None = None) -> DataFrame:
     """(doc, token, weight): unit vectors of token weights, a stand-in for a learned sparse model."""
-    post = postings(docs)
+    post = postings(docs) if post is None else post
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     w = post.join(df, "token").crossJoin(F.broadcast(n)).select("doc", "token", (F.col("tf") * F.log(1 + F.col("n") / F.col("df"))).alias("w"))

@@ -9,6 +9,7 @@ from colonnade.functions.text import STOPWORDS
 from colonnade.operators import profile, retrieve
 from colonnade.plans.profile_queries import COLUMNS, TEXTS, TEXT_COLUMNS, cells
 from colonnade.plans.registry import query
+from colonnade.plans.scratch import Scratch
 from colonnade.sources.tables import table
 
 STOP_SQL = ", ".join(f"'{w}'" for w in STOPWORDS)
@@ -40,15 +41,20 @@ def bm25_search(spark: SparkSession, directory: str) -> DataFrame:
     return retrieve.top(retrieve.bm25(documents(spark, directory), questions(spark, directory)), 10).drop("rank")
 
 
-def sparse_hits(spark: SparkSession, directory: str) -> DataFrame:
+def kept_postings(spark: SparkSession, directory: str) -> DataFrame:
+    """The postings of all documents, written once for every search that a query combines."""
+    return Scratch(spark).keep(retrieve.postings(documents(spark, directory)), "postings")
+
+
+def sparse_hits(spark: SparkSession, directory: str, post: DataFrame | None = None) -> DataFrame:
     docs = documents(spark, directory)
-    post = retrieve.postings(docs)
+    post = kept_postings(spark, directory) if post is None else post
     df = post.groupBy("token").agg(F.count("*").alias("df"))
     n = docs.agg(F.count("*").alias("n"))
     asked = questions(spark, directory).select("query", F.explode(F.array_distinct(retrieve.T.tokens(F.col("text")))).alias("token"))
     raw = asked.join(df, "token").crossJoin(F.broadcast(n)).select("query", "token", F.log(1 + F.col("n") / F.col("df")).alias("w"))
     norm = raw.groupBy("query").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return retrieve.sparse_search(retrieve.tfidf(docs), raw.join(norm, "query").select("query", "token", (F.col("w") / F.col("norm")).alias("weight")))
+    return retrieve.sparse_search(retrieve.tfidf(docs, post), raw.join(norm, "query").select("query", "token", (F.col("w") / F.col("norm")).alias("weight")))
 
 
 @query(f"with {BASE}, {SPARSE} select query, doc, score from sp qualify row_number() over (partition by query order by score desc, doc) <= 10")
@@ -104,8 +110,9 @@ HITS = f"""{BM25}, {SPARSE}, m as (select query_id as query, doc_id as doc from
 
 
 def fused(spark: SparkSession, directory: str) -> DataFrame:
-    b = retrieve.top(retrieve.bm25(documents(spark, directory), questions(spark, directory)), 50).withColumn("method", F.lit("bm25"))
-    s = retrieve.top(sparse_hits(spark, directory), 50).withColumn("method", F.lit("sparse"))
+    post = kept_postings(spark, directory)
+    b = retrieve.top(retrieve.bm25(documents(spark, directory), questions(spark, directory), post=post), 50).withColumn("method", F.lit("bm25"))
+    s = retrieve.top(sparse_hits(spark, directory, post), 50).withColumn("method", F.lit("sparse"))
     hits = b.unionByName(s).drop("rank")
     asked = table(spark, directory, "nl2sql_query").selectExpr("query_id as query", "lower(db_id) as qdb")
     stored = table(spark, directory, "documents").selectExpr("doc_id as doc", "lower(database_id) as ddb")
@@ -127,8 +134,9 @@ def value_aware_limit(spark: SparkSession, directory: str) -> DataFrame:
 @query(f"""with {HITS}, e as (select query, doc, score from h qualify row_number() over (partition by query, method order by score desc, doc) <= 20), o as (select query, doc, max(score) as score from e group by all)
   select * from o qualify row_number() over (partition by query order by score desc, doc) <= 10""")
 def union_topk(spark: SparkSession, directory: str) -> DataFrame:
-    b = retrieve.top(retrieve.bm25(documents(spark, directory), questions(spark, directory)), 50).withColumn("probe", F.lit("bm25"))
-    s = retrieve.top(sparse_hits(spark, directory), 50).withColumn("probe", F.lit("sparse"))
+    post = kept_postings(spark, directory)
+    b = retrieve.top(retrieve.bm25(documents(spark, directory), questions(spark, directory), post=post), 50).withColumn("probe", F.lit("bm25"))
+    s = retrieve.top(sparse_hits(spark, directory, post), 50).withColumn("probe", F.lit("sparse"))
     return retrieve.union_top(b.unionByName(s).drop("rank"), 10).drop("rank")
 
 

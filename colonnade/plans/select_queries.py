@@ -118,7 +118,13 @@ PAIRS = {
     "other rows": ("select r_name from region", "select r_name from region where r_regionkey > 0"),
     "same set, same count": ("select n_regionkey from nation where n_nationkey < 10 union all select 0", "select n_regionkey from nation where n_nationkey < 10 union all select 1"),
 }
-CELL = "coalesce(case when typeof({0}) in ('INTEGER', 'BIGINT', 'DOUBLE') then try_cast({0} as double)::varchar else {0}::varchar end, 'NULL')"
+PAIRS |= {
+    "orders in another order": ("select o_orderkey, o_custkey from orders", "select o_orderkey, o_custkey from orders order by o_custkey desc"),
+    "lines grouped twice": ("select l_returnflag, l_linestatus, count(*) from lineitem group by 1, 2", "select l_returnflag, l_linestatus, sum(n) from (select l_returnflag, l_linestatus, l_tax, count(*) as n from lineitem group by 1, 2, 3) group by 1, 2"),
+    "lines repeated": ("select l_suppkey from lineitem", "select distinct l_suppkey from lineitem"),
+    "one line less": ("select l_orderkey, l_partkey, l_suppkey from lineitem where l_orderkey < 500", "select l_orderkey, l_partkey, l_suppkey from lineitem where l_orderkey < 499"),
+}
+CELL = "coalesce(case when typeof({0}) in ('INTEGER', 'BIGINT', 'HUGEINT', 'DOUBLE') then try_cast({0} as double)::varchar else {0}::varchar end, 'NULL')"
 
 
 def _pair_sql(kind: str) -> str:
@@ -142,8 +148,38 @@ def _width(sql: str) -> int:
     return sql.split(" from ")[0].count(",") + 1
 
 
+#: Candidates for each question with their real results, of which some agree.
+REAL = {
+    "busy customers": ["select o_custkey from orders group by o_custkey having count(*) > 12", "select distinct o_custkey from (select o_custkey, count(*) over (partition by o_custkey) as n from orders) where n > 12", "select o_custkey from orders where o_custkey < 10"],
+    "lines by flag": ["select l_returnflag, count(*) from lineitem group by l_returnflag", "select l_returnflag, sum(1) from lineitem group by l_returnflag order by 1 desc", "select count(*), l_returnflag from lineitem group by l_returnflag"],
+    "nothing": ["select n_name from nation where n_nationkey < 0", "select r_name from region where r_regionkey < 0"],
+}
+
+
+def _real_sql() -> str:
+    parts = []
+    for q, texts in REAL.items():
+        for k, sql in enumerate(texts):
+            names = [f"c{i}" for i in range(_width(sql.replace("distinct ", "").replace("(select o_custkey, count(*)", "(select o_custkey")))]
+            cells = " || '|' || ".join(CELL.format(n) for n in names)
+            parts.append(f"select '{q}' as question, {k} as candidate, (select string_agg(distinct r, ';' order by r) from (select {cells} as r from ({sql}) t({', '.join(names)}))) as rows")
+    return " union all ".join(parts)
+
+
+@query(f"with r as ({_real_sql()}), g as (select question, coalesce(rows, '') as rows, count(*) as group_size, min(candidate)::int as first_candidate from r group by all) select question, first_candidate, group_size from g")
+def result_groups(spark: SparkSession, directory: str) -> DataFrame:
+    """Candidates grouped by the key of their result sets, whatever the order of rows."""
+    register(spark, directory, ["nation", "region", "orders", "lineitem"])
+    out = None
+    for q, texts in REAL.items():
+        for k, sql in enumerate(texts):
+            one = execute.result_key(spark.sql(sql)).select(F.lit(q).alias("question"), F.lit(k).alias("candidate"), "result_key")
+            out = one if out is None else out.union(one)
+    return out.groupBy("question", "result_key").agg(F.min("candidate").alias("first_candidate"), F.count("*").alias("group_size")).select("question", "first_candidate", "group_size")
+
+
 def _compare(spark: SparkSession, directory: str, test) -> DataFrame:
-    register(spark, directory, ["nation", "region"])
+    register(spark, directory, ["nation", "region", "orders", "lineitem"])
     rows = [(name, test(spark.sql(a), spark.sql(b))) for name, (a, b) in PAIRS.items()]
     return spark.createDataFrame(rows, "pair string, equal boolean")
 
