@@ -466,6 +466,7 @@ def near_duplicate_groups(spark: SparkSession, df: DataFrame, id_col: str, text_
         if not more.isEmpty():
             edges = edges.union(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))
             roots = scratch.keep(connected_components(spark, edges, scratch, reduce_above=1_000_000), "roots")
+    scratch.drop(found)
     per_key = sets.select("id", "key").distinct()
     keys = per_key.groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
     keys = keys.join(roots.select(F.col("v").alias("key"), "component"), "key", "left").select("key", "least", "n", F.coalesce("component", "key").alias("root"))

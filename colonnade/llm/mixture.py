@@ -156,7 +156,7 @@ def mixture(
     rounded = scratch.keep(_round_partitions(rows, seed), "rounded")
     done = rounded.where("p = 0 or p = 1")
     rest = rounded.where("p > 0 and p < 1")
-    level = 0
+    level, steps = 0, []
     while True:
         most = rest.groupBy("source").count().agg(F.max("count")).first()[0] or 0
         if most <= 1:
@@ -164,11 +164,13 @@ def mixture(
         level += 1
         nodes = rest.withColumn("node", F.pmod(F.xxhash64("id", F.lit(level)), F.lit(max(1, most // FAN_IN + (most > FAN_IN)))))
         step = scratch.keep(_round_partitions(nodes.repartition("source", "node").sortWithinPartitions("source", "node", "id"), seed + level), "tree")
+        steps.append(step)
         done = done.union(step.where("p = 0 or p = 1"))
         rest = step.where("p > 0 and p < 1")
     last = rest.withColumn("p", (F.abs(F.xxhash64("id", F.lit(seed))) % 1000003 / 1000003 < F.col("p")).cast("double"))
     copies = done.union(last).join(few(listed.select("source", "base")), "source")
     copies = scratch.keep(copies.select("id", "source", "tokens", (F.col("base") + F.col("p")).cast("bigint").alias("copies")), "copies")
+    scratch.drop(sized, rounded, *steps)
     got = copies.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("mixed_tokens"), F.max("copies").alias("most_repeats"))
     report = plan.join(got, "source", "left").fillna(0, ["mixed_tokens", "most_repeats"])
     sum_ = got.agg(F.sum("mixed_tokens").alias("all"))

@@ -153,6 +153,7 @@ def cross_split_pairs(
     fits = fits & ((F.col("pa") != F.col("pb")) | (F.col("pa") == 0))
     spans = spans.union(a.join(b, ["run", "i", "j"]).where(fits).select("train", "eval"))
     merged = scratch.keep(spans.distinct(), "spans")
+    scratch.drop(live)
     body = ordered.select("key", "side", "text", "field")
     both = merged.join(body.where("side = 0").select(F.col("key").alias("train"), F.col("text").alias("ta")), "train").join(
         body.where("side = 1").select(F.col("key").alias("eval"), F.col("text").alias("tb"), "field"), "eval"
