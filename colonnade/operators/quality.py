@@ -43,7 +43,12 @@ def _groups_of(files: DataFrame) -> DataFrame:
                     n = pq.ParquetFile(raw).metadata.num_row_groups
                 yield pd.DataFrame({"file": uri, "row_group": np.arange(n, dtype=np.int32)})
 
-    return files.mapInPandas(work, "file string, row_group int").repartition(F.col("file"), F.col("row_group"))
+    return _spread(files.mapInPandas(work, "file string, row_group int"))
+
+
+def _spread(groups: DataFrame) -> DataFrame:
+    """Row groups over a fixed number of tasks: their names are few bytes, so adaptive execution would put them all in one."""
+    return groups.repartition(4 * groups.sparkSession.sparkContext.defaultParallelism, "file", "row_group").sortWithinPartitions("file", "row_group")
 
 
 def _stored(values: pa.Array) -> pa.Array:
@@ -171,7 +176,7 @@ def _loads_of(groups: DataFrame) -> DataFrame:
                     for g in mine["row_group"].tolist():
                         yield f.read_row_group(g, columns=["column_id", "load_no"]).to_pandas().dropna().drop_duplicates().astype("int64")
 
-    return groups.mapInPandas(work, "column_id bigint, load_no bigint").distinct()
+    return _spread(groups).mapInPandas(work, "column_id bigint, load_no bigint").distinct()
 
 
 def _dictionary_values(chunks: DataFrame) -> DataFrame:
@@ -179,14 +184,19 @@ def _dictionary_values(chunks: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for r in batch.itertuples():
-                with open_file(r.file) as raw:
-                    group = pq.ParquetFile(raw).metadata.row_group(r.row_group)
-                    column = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "value")
-                    found = [v.decode("utf-8") for v in dictionary(raw, column).to_pylist()]
-                yield pd.DataFrame({"column_id": r.c0, "load_no": r.load_no, "value": found})
-
-    return chunks.select("file", "row_group", "c0", "load_no").mapInPandas(work, "column_id bigint, load_no bigint, value string").distinct()
+            for uri, mine in batch.groupby("file"):
+                with open_file(uri) as raw, open_file(uri) as again:
+                    meta = pq.ParquetFile(again).metadata
+                    parts = []
+                    for r in mine.itertuples():
+                        group = meta.row_group(r.row_group)
+                        column = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "value")
+                        parts.append((r.c0, r.load_no, [v.decode("utf-8") for v in dictionary(raw, column).to_pylist()]))
+                sizes = [len(p[2]) for p in parts]
+                yield pd.DataFrame({"column_id": np.repeat([p[0] for p in parts], sizes), "load_no": np.repeat([p[1] for p in parts], sizes), "value": [v for p in parts for v in p[2]]})
+
+    chunks = _spread(chunks.select("file", "row_group", "c0", "load_no"))
+    return chunks.mapInPandas(work, "column_id bigint, load_no bigint, value string").distinct()
 
 
 def load_values(spark: SparkSession, path: str | list[str], scratch: Scratch, shares_up_to: int = 12) -> LoadValues:
