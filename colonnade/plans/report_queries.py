@@ -30,9 +30,7 @@ def facet_search(spark: SparkSession, directory: str) -> DataFrame:
   h as (select query, doc, round(0.5 * coalesce(k, 0) + 0.5 * coalesce(score, 0), 6) as score from b full join sp using (query, doc)) select * from h qualify row_number() over (partition by query order by score desc, doc) <= 10""")
 def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
     """Keyword and vector scores in equal parts."""
-    post = rq.kept_postings(spark, directory)
-    k = retrieve.bm25(rq.documents(spark, directory), rq.questions(spark, directory), post=post)
-    return retrieve.top(match.hybrid(k, rq.sparse_hits(spark, directory, post)), 10).drop("rank")
+    return rq.keywords(spark, directory, sparse=True).top(10, ("hybrid",), 0.5).drop("kind")
 
 
 _SKELETON = xq.sql_skeleton.__name__  # the skeleton's SQL is that of its own query
