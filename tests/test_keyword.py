@@ -5,7 +5,7 @@ import pytest
 from colonnade.plans.queries import ORACLE, QUERIES
 from tests.oracle import connect, same
 
-NAMES = ["bm25_search", "hybrid_search", "two_path_topk"]
+NAMES = ["bm25_search", "hybrid_search", "two_path_topk", "union_topk"]
 
 
 def shuffled(spark) -> int:
