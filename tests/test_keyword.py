@@ -5,7 +5,7 @@ import pytest
 from colonnade.plans.queries import ORACLE, QUERIES
 from tests.oracle import connect, same
 
-NAMES = ["bm25_search", "hybrid_search", "two_path_topk", "union_topk", "value_aware_limit", "facet_search", "query_collisions", "rrf_fusion"]
+NAMES = ["bm25_search", "hybrid_search", "two_path_topk", "union_topk", "value_aware_limit", "facet_search", "query_collisions", "rrf_fusion", "sparse_dot_search"]
 
 
 def shuffled(spark) -> int:
