@@ -47,7 +47,7 @@ def directory(spark, tmp_path_factory):
     return d
 
 
-@pytest.mark.parametrize("name", ["nearest_values", "value_linked_columns"])
+@pytest.mark.parametrize("name", ["nearest_values", "value_linked_columns", "values_of_columns"])
 def test_nearest_pairs_are_not_shuffled(spark, directory, name):
     before = shuffled(spark)
     same(spark, name, QUERIES[name], ORACLE[name], connect(directory), directory)
