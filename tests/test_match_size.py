@@ -29,6 +29,18 @@ def test_fuzzy_values_with_a_common_word(spark):
     assert cpu(spark) - before < 30
 
 
+def test_partial_values_with_a_common_beginning(spark):
+    values, phrases = names(spark, 10_000)
+    before = cpu(spark)
+    short = phrases.where("length(phrase) = 16").select("phrase").distinct()
+    want = short.join(values, values.norm.startswith(retrieve.F.lower("phrase"))).groupBy("phrase").count().selectExpr("sum(least(count, 20))").first()[0]
+    before = cpu(spark)
+    got = retrieve.partial_matches(values, short.selectExpr("phrase as query", "phrase")).count()
+    whole = retrieve.partial_matches(values, phrases.where("length(phrase) > 16")).count()
+    assert (got, whole) == (want, 0)
+    assert cpu(spark) - before < 20
+
+
 @pytest.fixture(scope="module")
 def directory(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("names"))
