@@ -52,10 +52,9 @@ def _episode_sql() -> str:
 def same_database_episodes(spark: SparkSession, directory: str) -> DataFrame:
     """The right records of its own database that are most like every hundredth record."""
     r = table(spark, directory, "episodic_record").where("user_query is not null and database_id is not null and generated_sql is not null")
-    r = r.select("record_id", "label", F.lower("database_id").alias("db"), T.tokens(F.col("user_query")).alias("words"), T.bag_tokens(sqltext.skeleton(F.col("generated_sql"))).alias("shape"))
+    r = r.select("record_id", "label", F.lower("database_id").alias("db"), F.array_join(T.tokens(F.col("user_query")), " ").alias("words"), sqltext.skeleton(F.col("generated_sql")).alias("shape")).where("trim(shape) <> ''")
     asked = r.where("record_id % 100 = 0").selectExpr("record_id as query", "db", "words", "shape")
-    hits = match.episode_scores(asked, r.where("label").selectExpr("record_id as doc", "db", "words", "shape")).where("same")
-    return retrieve.top(hits, 5).select("query", "doc", "score")
+    return match.same_database(asked, r.where("label").selectExpr("record_id as doc", "db", "words", "shape"), 5)
 
 
 @query("""with a as (select count(*) as n, count(o_custkey) as k, count(distinct o_custkey) as d from orders), b as (select count(*) as n, count(c_custkey) as k, count(distinct c_custkey) as d from customer),

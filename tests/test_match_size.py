@@ -64,3 +64,25 @@ def test_nearest_pairs_are_not_shuffled(spark, directory, name):
     before = shuffled(spark)
     same(spark, name, QUERIES[name], ORACLE[name], connect(directory), directory)
     assert shuffled(spark) - before < 2500 * 25
+
+
+def test_episodes_without_a_skeleton(spark, directory):
+    same(spark, "same_database_episodes", QUERIES["same_database_episodes"], ORACLE["same_database_episodes"], connect(directory), directory)
+
+
+def test_episodes_meet_in_lists(spark, directory):
+    """Of 20 questions and 1,600 episodes no pair is a row of a join."""
+    df = QUERIES["same_database_episodes"](spark, directory)
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    df.collect()
+    while todo:
+        x = todo.pop()
+        kind = x.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(x.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(x.plan())
+        if "Join" in kind:
+            rows = max(rows, x.metrics().apply("numOutputRows").value())
+        todo += [x.children().apply(i) for i in range(x.children().size())]
+    assert rows < 10_000
