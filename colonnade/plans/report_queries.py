@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from colonnade.functions import sqltext, text as T
 from colonnade.operators import catalog, match, report, retrieve
+from colonnade.operators.keyword import Keywords
 from colonnade.plans import profile_queries as pq, retrieve_queries as rq, sqltext_queries as xq
 from colonnade.plans.registry import query
 from colonnade.sources.tables import table
 
 _BM = f"(with {rq.BM25} select query, doc, score from bm where score > 0)"
 _SOURCE = _BM.replace("lower(text)", "lower(source)").replace("where text is not null", "where source is not null")
+_ALL = rq.BM25.replace("query_id % 100 = 0 and ", "")  # of every question
 _REL = "(select query, doc, score / max(score) over (partition by query) as score from {0})"
 
 
@@ -26,11 +28,12 @@ def facet_search(spark: SparkSession, directory: str) -> DataFrame:
     return match.facet_search(facets, rq.questions(spark, directory), {"text": 1.0, "source": 0.5}, 10).drop("rank")
 
 
-@query(f"""with {rq.BM25}, {rq.SPARSE}, b as (select query, doc, score / max(score) over (partition by query) as k from bm where score > 0),
+@query(f"""with {_ALL}, {rq.SPARSE}, b as (select query, doc, score / max(score) over (partition by query) as k from bm where score > 0),
   h as (select query, doc, round(0.5 * coalesce(k, 0) + 0.5 * coalesce(score, 0), 6) as score from b full join sp using (query, doc)) select * from h qualify row_number() over (partition by query order by score desc, doc) <= 10""")
 def hybrid_search(spark: SparkSession, directory: str) -> DataFrame:
-    """Keyword and vector scores in equal parts."""
-    return rq.keywords(spark, directory, sparse=True).top(10, ("hybrid",), 0.5).drop("kind")
+    """Documents for every question by keyword and vector scores in equal parts."""
+    asked = table(spark, directory, "nl2sql_query").where("question is not null").selectExpr("query_id as query", "question as text")
+    return Keywords(spark, rq.documents(spark, directory), asked, sparse=True).hybrid(10, 0.5)
 
 
 _SKELETON = xq.sql_skeleton.__name__  # the skeleton's SQL is that of its own query
